@@ -12,8 +12,7 @@ in their emptier containers is dealt again and packed together in a second round
 
 from __future__ import annotations
 
-import heapq
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,34 +32,21 @@ def item_cost(n):
 
 def pack_block(sizes, capacity: int, most: int) -> tuple[list[int], list[int], list[int]]:
     """The container of each item, and what each container holds in size and items; sizes come largest first and none exceeds the capacity."""
-    n, total = len(sizes), int(sum(sizes))
-    start = max(1, -(-total // capacity), -(-n // most))
-    room, count, cost, out = [capacity] * start, [0] * start, [0.0] * start, []
-    by_cost = [(0.0, b) for b in range(start)]
+    n = len(sizes)
+    used = max(1, -(-int(sum(sizes)) // capacity), -(-n // most))
+    room, count, cost = np.full(used + n, capacity), np.zeros(used + n, dtype=np.int64), np.zeros(used + n)
+    out = []
     for s in map(int, sizes):
-        passed, at = [], -1
-        while by_cost:
-            top = heapq.heappop(by_cost)
-            b = top[1]
-            if count[b] >= most or not room[b] and s:
-                continue  # full for good
-            if room[b] >= s:
-                at = b
-                break
-            passed.append(top)
-        if at < 0:
-            at = len(room)
-            room.append(capacity)
-            count.append(0)
-            cost.append(0.0)
+        # A container without room for this item, or with all its items, costs more than any other for now.
+        barred = (room[:used] < s) | (count[:used] >= most)
+        at = int(np.where(barred, np.inf, cost[:used]).argmin())
+        if barred[at]:
+            at, used = used, used + 1
         room[at] -= s
         count[at] += 1
         cost[at] += item_cost(s)
-        heapq.heappush(by_cost, (cost[at], at))
-        for top in passed:
-            heapq.heappush(by_cost, top)
         out.append(at)
-    return out, [capacity - r for r in room], count
+    return out, (capacity - room).tolist(), count.tolist()
 
 
 def _cuts(text: str, capacity: int) -> list[int]:
