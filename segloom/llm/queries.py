@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import current_memory, table
-from . import encode, leak, lookalike, pack
+from . import encode, leak, lookalike, neardup, pack
 
 
 def p2_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +17,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_requests(spark, d).where("n_pieces > 1").select("segment_id").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = neardup.similar_pairs(current_memory(spark, d), "source_hash", "source_norm")
+    return pairs.select(F.col("key_a").alias("source_hash_a"), F.col("key_b").alias("source_hash_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_groups(current_memory(spark, d), "source_hash", "source_norm").withColumnRenamed("key", "source_hash")
+
+
 def keyed_sources(spark: SparkSession, d: str) -> DataFrame:
     """Source texts of segments and of current memory rows under one key."""
     a = table(spark, d, "segments").select(F.concat(F.lit("segments:"), "segment_id").alias("key"), F.col("source_plain").alias("text"))
@@ -49,6 +58,14 @@ SELECT DISTINCT s.segment_id FROM segments s JOIN llm_config c ON s.config_id =
 WHERE length(s.source_plain) > c.batch_max_chars
 """
 
+P4_SQL = """
+WITH cur AS (SELECT source_hash, source_norm FROM (SELECT *, row_number() OVER (PARTITION BY source_hash ORDER BY updated_at DESC, source_norm DESC, target_text DESC) rn FROM tm_exact) WHERE rn = 1),
+w AS (SELECT source_hash, list_distinct(regexp_extract_all(lower(source_norm), '[a-zа-яё0-9]{2,}')) AS w FROM cur),
+c AS (SELECT source_hash, w, len(w) AS n FROM w WHERE len(w) >= 40)
+SELECT a.source_hash AS source_hash_a, b.source_hash AS source_hash_b FROM c a JOIN c b ON a.source_hash < b.source_hash
+WHERE a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n AND len(list_intersect(a.w, b.w)) * 1.8 >= 0.8 * (a.n + b.n) - 1e-9
+"""
+
 P9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM eval_items WHERE text IS NOT NULL),
@@ -63,4 +80,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"p2_found": P2_SQL, "p9_found": P9_SQL}
+    return {"p2_found": P2_SQL, "p4_found": P4_SQL, "p9_found": P9_SQL}
