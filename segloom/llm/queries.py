@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import current_memory, table
-from . import encode, leak, lookalike, neardup, pack
+from . import encode, leak, lookalike, neardup, pack, residue
 
 
 def p2_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +53,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).select("doc_id", "residue", "placeholder", F.round("score", 6).alias("score"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents").select("doc_id", "text", "source")).where("residue").select("doc_id").distinct()
+
+
+def p10_validation(spark: SparkSession, d: str) -> DataFrame:
+    return residue.validate(table(spark, d, "documents"))
+
+
 P2_SQL = """
 SELECT DISTINCT s.segment_id FROM segments s JOIN llm_config c ON s.config_id = c.config_id
 WHERE length(s.source_plain) > c.batch_max_chars
