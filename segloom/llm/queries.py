@@ -6,7 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import current_memory, table
-from . import encode, leak, lookalike, neardup, pack, residue
+from . import encode, leak, lookalike, neardup, pack, pairs, residue
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pairs.defects(pairs.pairs(spark, d)).where("defect_type = 'truncated'")
+    return found.select("table_name", "record_key").distinct()
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Records with a target and the share of cut ones, by config of segments and origin of memory rows."""
+    one = pairs.defects(pairs.pairs(spark, d)).groupBy("table_name", "grp", "record_key").agg(F.max((F.coalesce("defect_type", F.lit("")) == "truncated").cast("int")).alias("cut"))
+    return one.groupBy("table_name", "grp").agg(F.count("*").alias("records"), F.sum("cut").alias("cut_records"), F.round(F.avg("cut"), 6).alias("cut_share"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(pairs.pairs(spark, d)).where(F.col("defect_type").isNotNull()).groupBy("table_name", "record_key").agg(F.min("defect_type").alias("defect_type"))
 
 
 def p2_requests(spark: SparkSession, d: str) -> DataFrame:
