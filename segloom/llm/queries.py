@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import current_memory, table
-from . import encode, leak, lookalike, neardup, pack, pairs, residue
+from . import encode, leak, lookalike, neardup, pack, pairs, residue, scan
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,6 +41,14 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_groups(current_memory(spark, d), "source_hash", "source_norm").withColumnRenamed("key", "source_hash")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan.noise_kinds(table(spark, d, "segments"), table(spark, d, "pdf_blocks"), table(spark, d, "pdf_pages"))
+
+
+def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scan.paragraphs(table(spark, d, "segments"), table(spark, d, "pdf_blocks"), table(spark, d, "pdf_pages"))
+
+
 def keyed_sources(spark: SparkSession, d: str) -> DataFrame:
     """Source texts of segments and of current memory rows under one key."""
     a = table(spark, d, "segments").select(F.concat(F.lit("segments:"), "segment_id").alias("key"), F.col("source_plain").alias("text"))
