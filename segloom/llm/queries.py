@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import current_memory, table
-from . import encode, leak, lookalike, neardup, pack, pairs, residue, scan
+from . import align, encode, leak, lookalike, neardup, pack, pairs, residue, scan
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,6 +41,15 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_groups(current_memory(spark, d), "source_hash", "source_norm").withColumnRenamed("key", "source_hash")
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    rows = align.aligned_lines(current_memory(spark, d), "source_hash", "source_norm", "target_text")
+    return rows.select(F.col("key").alias("source_hash"), "source_line", "target_line", F.round("similarity", 6).alias("similarity"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_links(spark, d).select("source_hash", "source_line", "target_line").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return scan.noise_kinds(table(spark, d, "segments"), table(spark, d, "pdf_blocks"), table(spark, d, "pdf_pages"))
 
