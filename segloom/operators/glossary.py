@@ -1,0 +1,115 @@
+"""Glossary terms: parsing, matching in texts, locking, variants and consistency of translations."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+_ROW = re.compile(r"^\s*\|(.+)\|\s*$")
+_PAIR = re.compile(r"^(.*?\S)\s*(?:—|–|\s-\s|=>|->|\t)\s*(\S.*)$")
+_NUMBERING = re.compile(r"^\s*(?:\d+[.)]\s*|[-*•]\s+)")
+
+
+def parse_pairs(text: str) -> list[tuple[str, str]]:
+    """Pairs of a glossary text: table rows or dashed lines, without header, rule, numbering, blanks and comments; longest source first, else as given."""
+    out = []
+    for line in text.splitlines():
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        if m := _ROW.match(line):
+            cells = [c.strip() for c in m.group(1).split("|")]
+            if len(cells) < 2 or set("".join(cells)) <= set("-: ") or cells[0].lower() in ("en", "english", "source", "term"):
+                continue
+            pair = cells[0], cells[1]
+        elif m := _PAIR.match(_NUMBERING.sub("", line)):
+            pair = m.group(1).strip(), m.group(2).strip()
+        else:
+            continue
+        if all(pair):
+            out.append(pair)
+    return sorted(out, key=lambda p: -len(p[0]))
+
+
+def term_key(c: Column | str) -> Column:
+    """Words of letters and digits in lower case with single blanks, blanks around: a term occurs in a text where its key occurs in the text's key."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(T.col(c)), "[^a-z0-9]+", " ")), F.lit(" "))
+
+
+def distinct_terms(glossary: DataFrame) -> DataFrame:
+    """``term, target, rank``: one row per lower-cased, stripped source, the best rank; ties fall to the smaller target. Blank sides are left out."""
+    g = glossary.select(F.lower(T.strip("source")).alias("term"), T.strip("target").alias("target"), "rank").where((F.length("term") > 0) & (F.length("target") > 0))
+    w = Window.partitionBy("term").orderBy("rank", "target")
+    return g.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def merge_priority(domain: DataFrame, user: DataFrame) -> DataFrame:
+    """``term, target, origin``: terms of several words, the user's before the domain's."""
+    both = domain.select("source", "target", F.lit("domain").alias("origin"), F.lit(1).alias("p")).unionByName(user.select("source", "target", F.lit("user").alias("origin"), F.lit(0).alias("p")))
+    both = both.select(F.lower(T.strip("source")).alias("term"), T.strip("target").alias("target"), "origin", "p").where(F.col("term").rlike(r"\S\s+\S") & (F.length("target") > 0))
+    w = Window.partitionBy("term").orderBy("p", "target")
+    return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("term", "target", "origin")
+
+
+def matches(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, term, target, rank`` of all terms in all texts.
+
+    An inverted join: the words of a text meet the terms that start with them, then the whole term is looked up in
+    the text. Neither side is broadcast by this operator, and a term costs nothing in texts without its first word.
+    """
+    t = texts.select(F.col(key).alias("key"), term_key(F.col(text)).alias("body")).where(F.length("body") > 2)
+    words = t.select("key", "body", F.explode(F.array_distinct(F.split(F.trim("body"), " "))).alias("word"))
+    g = terms.withColumn("needle", term_key(F.col("term"))).where(F.length("needle") > 2).withColumn("word", F.split(F.trim("needle"), " ")[0])
+    return words.join(g, "word").where(F.contains("body", "needle")).select("key", "term", "target", "rank").distinct()
+
+
+def top_matches(found: DataFrame, limit: int = 24) -> DataFrame:
+    w = Window.partitionBy("key").orderBy("rank", "term")
+    return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)
+
+
+def term_variants(pairs: DataFrame, terms: DataFrame, key: str, source: str, target: str) -> DataFrame:
+    """``term, variant, key``: how each term of a source came out: its expected target where the target text holds it, the whole target where the source is the term."""
+    found = matches(pairs, terms.withColumnRenamed("target", "expected").withColumn("target", F.col("expected")), key, source)
+    full = found.join(pairs.select(F.col(key).alias("key"), F.col(source).alias("src"), T.strip_markers(target).alias("tgt")), "key").where(F.col("tgt").isNotNull())
+    whole = F.regexp_replace(T.strip("tgt"), r"^[ .,:;!?]+|[ .,:;!?]+$", "")
+    variant = F.when(F.contains(F.lower("tgt"), F.lower(F.col("target"))), F.col("target")).when(T.key_normal("src") == T.key_normal("term"), whole)
+    return full.select("term", variant.alias("variant"), "key").where(F.length("variant") > 0)
+
+
+def inconsistencies(variants: DataFrame) -> DataFrame:
+    """``term, variants, total, majority, majority_count, minority_count``: terms with at least two different translations.
+
+    Spellings of one normalised key count together and are shown as the smallest one. There is a majority only if it is
+    strictly more frequent than the next; the minority is all that is less frequent than it.
+    """
+    v = variants.groupBy("term", T.key_normal("variant").alias("vk")).agg(F.min("variant").alias("variant"), F.count("*").alias("n")).where(F.length("vk") > 0)
+    by_count = Window.partitionBy("term").orderBy(F.col("n").desc(), F.lower("variant"), "variant")
+    r = v.withColumn("pos", F.row_number().over(by_count)).withColumn("second", F.lead("n").over(by_count))
+    total = r.groupBy("term").agg(
+        F.count("*").alias("variants"), F.sum("n").alias("total"),
+        F.max(F.when((F.col("pos") == 1) & (F.col("n") > F.coalesce("second", F.lit(0))), F.col("variant"))).alias("majority"),
+        F.max(F.when((F.col("pos") == 1) & (F.col("n") > F.coalesce("second", F.lit(0))), F.col("n"))).alias("majority_count"),
+    )
+    return total.where("variants >= 2").withColumn("minority_count", F.when(F.col("majority").isNotNull(), F.col("total") - F.col("majority_count")))
+
+
+def recent_terms(found: DataFrame, segments: DataFrame, limit: int = 12) -> DataFrame:
+    """``segment_id, terms``: the terms seen before each segment in its document, the latest last, at most ``limit``.
+
+    A running state: for each occurrence only the last one of its term before a segment counts. Terms come from a
+    glossary, so a document has at most as many as that; the state at a segment is the map of last places.
+    """
+    place = segments.select("segment_id", "doc_id", "seq").dropDuplicates(["segment_id"])
+    occ = found.select(F.col("key").alias("segment_id"), "term").distinct().join(place, "segment_id")
+    # Of each term the last occurrence before the segment: all terms of the document, by an as-of step on (document, term).
+    terms = occ.select("doc_id", "term").distinct()
+    grid = place.join(terms, "doc_id").join(occ.select("segment_id", "term", F.col("seq").alias("here")), ["segment_id", "term"], "left")
+    w = Window.partitionBy("doc_id", "term").orderBy("seq", "segment_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = grid.withColumn("last", F.last("here", True).over(w)).where(F.col("last").isNotNull())
+    r = Window.partitionBy("segment_id").orderBy(F.col("last").desc(), F.col("term").desc())
+    top = last.withColumn("_r", F.row_number().over(r)).where(F.col("_r") <= limit)
+    return top.groupBy("segment_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("last", "term"))), lambda x: x["term"]), "|").alias("terms"))

@@ -1,0 +1,88 @@
+"""Usage, cost, sizing and quality rollups."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Profiles in their order (provider, prefix, input and output context, tier).
+PROFILES = (
+    ("openai", "gpt-5.2", 400000, 128000, "turbo"), ("openai", "gpt-5-mini", 400000, 128000, "turbo"), ("openai", "gpt-5-nano", 400000, 128000, "economy"),
+    ("openai", "gpt-5", 400000, 128000, "turbo"), ("openai", "gpt-4.1-mini", 1047576, 32768, "balanced"), ("openai", "gpt-4o-mini", 128000, 16384, "economy"),
+)
+#: Limits of the tiers (batch characters and segments, output, review segments and output, review pages).
+TIERS = {"economy": (12000, 6, 6000, 80, 2200, 2), "balanced": (18000, 10, 9000, 120, 3000, 3), "premium": (24000, 12, 12000, 140, 3600, 4), "turbo": (60000, 24, 64000, 120, 8000, 4)}
+
+
+def totals(usage: DataFrame) -> DataFrame:
+    """``phase, requests, input_tokens, output_tokens, total_tokens, cost, cost_records``: overall (phase null) and per phase. Negative tokens count 0; cost is null if none is known."""
+    u = usage.withColumn("phase", F.coalesce(F.nullif(F.lower(F.trim("phase")), F.lit("")), F.lit("unknown")))
+    pos = lambda c: F.sum(F.greatest(F.lit(0), F.coalesce(c, F.lit(0))))
+    agg = [F.count("*").alias("requests"), pos("input_tokens").alias("input_tokens"), pos("output_tokens").alias("output_tokens"), pos("total_tokens").alias("total_tokens"), F.round(F.sum("cost"), 6).alias("cost"), F.count("cost").alias("cost_records")]
+    return u.rollup("phase").agg(*agg)
+
+
+def with_cost(usage: DataFrame, pricing: DataFrame) -> DataFrame:
+    """``cost`` by lower-cased provider and model; null without a price."""
+    p = pricing.select(F.lower(F.trim("provider")).alias("_p"), F.lower(F.trim("model")).alias("_m"), "input_per_million", "output_per_million")
+    j = usage.join(p, (F.lower(F.trim("provider")) == F.col("_p")) & (F.lower(F.trim("model")) == F.col("_m")), "left")
+    t = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))
+    return j.withColumn("cost", t("input_tokens") / 1e6 * F.col("input_per_million") + t("output_tokens") / 1e6 * F.col("output_per_million")).drop("_p", "_m", "input_per_million", "output_per_million")
+
+
+def profiles(spark: SparkSession) -> DataFrame:
+    rows = [(i, *p) for i, p in enumerate(PROFILES)]
+    return spark.createDataFrame(rows, "pos int, profile_provider string, prefix string, input_context int, output_context int, tier string")
+
+
+def with_profile(rows: DataFrame, spark: SparkSession) -> DataFrame:
+    """Rows with the first profile (in list order) of their provider whose prefix is the model or starts it before a hyphen. A fixed list of six rows is joined."""
+    m = F.lower(F.trim("model"))
+    j = rows.join(F.broadcast(profiles(spark)), (F.lower(F.trim("provider")) == F.col("profile_provider")) & ((m == F.col("prefix")) | m.startswith(F.concat("prefix", F.lit("-")))), "left")
+    keys = rows.columns
+    best = j.groupBy(*keys).agg(F.min(F.struct("pos", "prefix", "input_context", "output_context", "tier")).alias("p"))
+    return best.select(*keys, F.col("p.prefix").alias("profile"), "p.input_context", "p.output_context", "p.tier")
+
+
+def grouped_timeout(timeout: Column, segments: Column, chars: Column) -> Column:
+    t = F.greatest(F.lit(30.0), timeout)
+    step = F.when(chars >= 100000, 360.0).when(chars >= 60000, 300.0).when(chars >= 36000, 180.0).otherwise(0.0)
+    return F.when(segments <= 1, t).otherwise(F.greatest(t, step))
+
+
+def review_timeout(timeout: Column, segments: Column) -> Column:
+    n = F.greatest(F.lit(1), segments)
+    return F.greatest(F.lit(30.0), timeout, F.when(n >= 160, 300.0).when(n >= 120, 240.0).when(n >= 80, 180.0).when(n >= 40, 120.0).otherwise(0.0))
+
+
+def output_tokens(chars: Column) -> Column:
+    """Estimate for a text of so many characters, truncated twice."""
+    return ((chars * 1.35).cast("int") / 2.2).cast("int") + 420
+
+
+def workers(concurrency: Column, jobs: Column, chars: Column) -> Column:
+    most = F.when(chars >= 60000, 2).when(chars >= 36000, 3).otherwise(1 << 30)
+    return F.greatest(F.lit(1), F.least(concurrency, jobs, most))
+
+
+def document_quality(segments: DataFrame, issues: DataFrame) -> DataFrame:
+    """Per document: segments, issues by severity, mismatches, compliance, layout issues."""
+    place = segments.select("segment_id", "doc_id").distinct()
+    n = place.groupBy("doc_id").agg(F.count("*").alias("segments"))
+    j = issues.join(place.withColumnRenamed("segment_id", "key"), "key")
+    q = j.groupBy("doc_id").agg(
+        F.count("*").alias("issues"), F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warn").alias("warnings"),
+        F.count_distinct(F.when(F.col("code").contains("mismatch"), F.col("key"))).alias("mismatched"), F.count_if(F.col("code").contains("layout") | F.col("code").contains("overflow") | (F.col("code") == "length_ratio_high")).alias("layout_issues"),
+    )
+    z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return n.join(q, "doc_id", "left").select("doc_id", "segments", *(z(c) for c in ("issues", "errors", "warnings", "mismatched", "layout_issues")), F.round(F.greatest(F.lit(0.0), 1 - F.coalesce("mismatched", F.lit(0)) / F.col("segments")), 6).alias("compliance"))
+
+
+def quality_summary(quality: DataFrame) -> DataFrame:
+    """Over all documents; averages skip nulls, of nothing they are null."""
+    return quality.agg(F.count("*").alias("documents"), F.sum("segments").alias("segments"), F.sum("issues").alias("issues"), F.sum("errors").alias("errors"), F.count_if(F.col("errors") == 0).alias("clean_documents"), F.round(F.avg("compliance"), 6).alias("avg_compliance"))
+
+
+def eta(done: Column, total: Column, elapsed: Column) -> Column:
+    """Seconds left at the rate so far; null when there is none."""
+    return F.when((done > 0) & (total > 0) & (elapsed > 0), F.greatest(F.lit(0), total - done) / (done / elapsed))

@@ -1,9 +1,442 @@
-"""The catalogue of core queries."""
+"""The catalogue of core queries: each operator over the whole tables it is meant for."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import recover, shield
+from ..functions import text as T
+from ..operators import alignment, glossary, layout, memory, ordered, review, similarity, usage, validate
+from ..sources.tables import current_memory, keep_latest, table
+from . import oracle
+
+
+def segments(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The latest extraction of each segment."""
+    cols = list(dict.fromkeys(["segment_id", "doc_id", "seq", "extracted_at", *columns]))
+    return keep_latest(table(spark, d, "segments").select(*cols), ["segment_id"], [F.col("extracted_at").desc_nulls_last(), F.col("doc_id"), F.col("seq")])
+
+
+def q01_segments(spark, d):
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
+    lines = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("seq", "line")).where(F.length(T.strip("line")) > 0)
+    loc = F.concat(F.lit("doc"), "doc_id", F.lit("/p"), "seq")
+    return lines.select("doc_id", F.col("seq").cast("bigint").alias("seq"), loc.alias("location"), T.segment_id(loc, "line").alias("segment_id"), T.is_toc("line").alias("is_toc"))
+
+
+def q02_normalize_hash(spark, d):
+    n = T.normalize("text")
+    return table(spark, d, "documents").select("doc_id", T.content_hash(n).alias("hash"), F.length(n).alias("chars"))
+
+
+def q03_compact_text(spark, d):
+    return segments(spark, d, "source_plain").select("segment_id", T.compact("source_plain", 60).alias("snippet"))
+
+
+def q04_number_tokens(spark, d):
+    return segments(spark, d, "source_plain").select("segment_id", F.array_join(T.numbers("source_plain"), "|").alias("numbers"))
+
+
+def q05_source_filter(spark, d):
+    return segments(spark, d, "target_tagged").select("segment_id", T.needs_translation(T.strip_markers("target_tagged")).alias("needs_translation"))
+
+
+def q06_exact_hits(spark, d):
+    p = memory.latest_progress(table(spark, d, "progress"))
+    return memory.exact_hits(p.select("segment_id", "source_hash"), current_memory(spark, d)).select("segment_id", "hit", F.length("memory_target").alias("target_chars"))
+
+
+def q07_memory_latest(spark, d):
+    m = memory.upsert(table(spark, d, "tm_exact").select("source_hash", "source_norm", "target_text", "created_at", "updated_at"))
+    return m.select("source_hash", F.length("target_text").alias("target_chars"), "created_at", "updated_at")
+
+
+def q08_resume_reuse(spark, d):
+    return memory.reusable(table(spark, d, "segments"), table(spark, d, "progress"), current_memory(spark, d))
+
+
+def q09_memory_search(spark, d):
+    return memory.search(current_memory(spark, d), "bearing race", 20).select("source_hash", "updated_at")
+
+
+def _queries(spark, d):
+    """Query texts of the fuzzy lookup: every segment whose place in its document is divisible by 20, against all entries."""
+    return segments(spark, d, "source_plain").where(F.col("seq") % 20 == 0)
+
+
+def q10_token_jaccard_topk(spark, d):
+    pairs = similarity.jaccard_pairs(_queries(spark, d), current_memory(spark, d), "segment_id", "source_plain", "source_hash", "source_norm", 0.7)
+    return similarity.top_k(pairs.withColumn("jaccard", F.round("jaccard", 6)), "jaccard", 3).select(F.col("q").alias("segment_id"), F.col("e").alias("source_hash"), "jaccard", "hit_rank")
+
+
+def q11_hybrid_fuzzy(spark, d):
+    h = similarity.hybrid_top_k(_queries(spark, d), current_memory(spark, d), "segment_id", "source_plain", "source_hash", "source_norm")
+    return h.select(F.col("q").alias("segment_id"), F.col("e").alias("source_hash"), F.round("score", 6).alias("score"), "hit_rank")
+
+
+def _terms(spark, d):
+    return glossary.distinct_terms(table(spark, d, "glossary"))
+
+
+def q12_glossary_match(spark, d):
+    found = glossary.matches(segments(spark, d, "source_plain"), _terms(spark, d), "segment_id", "source_plain")
+    return glossary.top_matches(found, 24).select(F.col("key").alias("segment_id"), "term", "pos")
+
+
+def q13_glossary_priority_merge(spark, d):
+    domain = table(spark, d, "part").select(F.col("p_name").alias("source"), F.col("p_type").alias("target"))
+    return glossary.merge_priority(domain, table(spark, d, "glossary"))
+
+
+def _tagged(spark, d):
+    return segments(spark, d, "source_plain", "target_tagged", "source_tagged", "shielded_tagged", "target_shielded_tagged").where(F.col("target_tagged").isNotNull())
+
+
+def q14_placeholder_multiset(spark, d):
+    missing, extra = validate.placeholder_diff(F.coalesce("shielded_tagged", F.lit("")), F.coalesce("target_shielded_tagged", F.lit("")))
+    r = _tagged(spark, d).select("segment_id", F.array_join(missing, ",").alias("missing"), F.array_join(extra, ",").alias("extra"))
+    return r.where("missing != '' or extra != ''")
+
+
+def q15_style_sequence(spark, d):
+    a, b = T.style_tokens(F.coalesce("source_tagged", F.lit(""))), T.style_tokens("target_tagged")
+    return _tagged(spark, d).where(a != b).select("segment_id", F.size(a).alias("source_tokens"), F.size(b).alias("target_tokens"))
+
+
+def _issues(spark, d):
+    return validate.issues(_tagged(spark, d), "segment_id", "source_plain", "target_tagged", "shielded_tagged", "target_shielded_tagged")
+
+
+def _issues_of(code):
+    def run(spark, d):
+        return _issues(spark, d).where(F.col("code").isin(*code)).select(F.col("key").alias("segment_id"), "code", "details")
+
+    return run
+
+
+q16_length_checks = _issues_of(("empty_translation", "length_ratio_high", "short_translation"))
+q17_untranslated = _issues_of(("untranslated_fragments",))
+q18_repeated_tokens = _issues_of(("repeated_words",))
+q19_context_leak = _issues_of(("context_leakage",))
+
+
+def q20_validate_all(spark, d):
+    return _issues(spark, d).where("code != 'numbers_mismatch'").select(F.col("key").alias("segment_id"), "code", "severity")
+
+
+def q21_issue_histogram(spark, d):
+    return validate.histogram(_issues(spark, d).where("code != 'numbers_mismatch'"))
+
+
+def _usage(spark, d):
+    """Usage records from the event table."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = table(spark, d, "events")
+    return e.select(F.lit("openai").alias("provider"), F.when(F.col("user_id") % 3 == 0, "model-s").when(F.col("user_id") % 3 == 1, "MODEL-L ").otherwise("unknown").alias("model"), F.col("event_type").alias("phase"),
+                    F.floor(F.col("value") * 10).cast("bigint").alias("input_tokens"), F.floor(F.col("value") * 3).cast("bigint").alias("output_tokens"), F.floor(F.col("value") * 13).cast("bigint").alias("total_tokens"), F.when(k % 2 == 0, F.round(F.col("value") / 100, 2)).alias("cost"))
+
+
+def q22_usage_snapshot(spark, d):
+    return usage.totals(_usage(spark, d))
+
+
+def _pricing(spark):
+    return spark.createDataFrame([("OpenAI", "model-s", 0.5, 1.5), ("openai", "model-l", 2.0, 8.0)], "provider string, model string, input_per_million double, output_per_million double")
+
+
+def q23_usage_cost(spark, d):
+    c = usage.with_cost(_usage(spark, d).drop("cost"), _pricing(spark))
+    return c.groupBy("model").agg(F.count("*").alias("requests"), F.round(F.sum("cost"), 4).alias("cost"), F.count("cost").alias("priced"))
+
+
+def q24_model_profile(spark, d):
+    names = table(spark, d, "llm_config").select("config_id", F.lit("openai").alias("provider"), F.element_at(F.array(*(F.lit(x) for x in ("gpt-5-mini-2026", "gpt-5", "gpt-4o-mini", "gpt-5.2-x", "gpt-50", "gpt-5-nano"))), (F.col("config_id") % 6 + 1).cast("int")).alias("model"))
+    return usage.with_profile(names, spark).select("config_id", "model", "profile", "tier", "input_context")
+
+
+def _quality(spark, d):
+    return usage.document_quality(segments(spark, d), _issues(spark, d).where("code != 'numbers_mismatch'"))
+
+
+def q25_document_quality(spark, d):
+    return _quality(spark, d)
+
+
+def q26_quality_summary(spark, d):
+    return usage.quality_summary(_quality(spark, d))
+
+
+def _variants(spark, d):
+    return glossary.term_variants(_tagged(spark, d), _terms(spark, d), "segment_id", "source_plain", "target_tagged")
+
+
+def q27_term_variants(spark, d):
+    return _variants(spark, d).groupBy("term", "variant").agg(F.count("*").alias("n"), F.min("key").alias("first_segment"))
+
+
+def q28_inconsistencies(spark, d):
+    return glossary.inconsistencies(_variants(spark, d))
+
+
+def q29_neighbours(spark, d):
+    s = ordered.neighbours(segments(spark, d, "source_plain"), "doc_id", ["seq", "segment_id"], "source_plain", 40)
+    return s.select("segment_id", "prev_text", "next_text")
+
+
+def q30_recent_ring(spark, d):
+    s = segments(spark, d, "target_tagged").where(F.length(T.strip("target_tagged")) > 0)
+    return ordered.recent(s, "doc_id", ["seq", "segment_id"], F.col("segment_id")).select("segment_id", F.array_join("recent", ",").alias("recent"))
+
+
+def q31_heading_carry(spark, d):
+    s = ordered.carry_forward(segments(spark, d, "paragraph_style", "source_plain"), "doc_id", ["seq", "segment_id"], F.when(F.lower("paragraph_style").startswith("heading"), F.col("source_plain")), "heading")
+    return s.select("segment_id", "heading")
+
+
+def q32_greedy_pack(spark, d):
+    s = segments(spark, d, "shielded_tagged")
+    rank = ordered.greedy_groups(s, "doc_id", "seq", "shielded_tagged", 6, 1000)
+    return rank.select("doc_id", "seq", F.col("group_no").cast("bigint").alias("group_no"))
+
+
+def q33_page_chunks(spark, d):
+    s = segments(spark, d, "page_number", "location").withColumn("page", T.page_of("page_number", "location"))
+    c = ordered.page_chunks(s.select("doc_id", "segment_id", "seq", "page"), "doc_id", "page", "seq", 3, 40)
+    return c.groupBy("doc_id", "chunk_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
+def q34_batch_eligibility(spark, d):
+    t = F.coalesce("shielded_tagged", F.lit(""))
+    why = F.array(F.when(F.col("is_toc_entry"), "toc_entry"), F.when(t.contains("⟦BRLINE_"), "contains_brline"), F.when(F.size(T.style_tokens(t)) > 16, "too_many_style_tokens"), F.when(F.size(T.placeholders(t)) > 12, "too_many_placeholders"))
+    s = segments(spark, d, "shielded_tagged", "is_toc_entry").select(F.explode(F.filter(why, lambda x: x.isNotNull())).alias("reason"))
+    return s.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def q35_budget_prefix(spark, d):
+    h = table(spark, d, "fuzzy_hits").where((F.col("similarity") >= 0) & (F.col("similarity") <= 1)).groupBy("segment_id", "source_hash").agg(F.max("similarity").alias("similarity"), F.min("hit_rank").alias("hit_rank"), F.max(F.length("target_text")).alias("chars"))
+    r = ordered.within_budget(h, "segment_id", [F.col("similarity").desc(), "hit_rank", "source_hash"], F.coalesce("chars", F.lit(0)), 500)
+    return r.groupBy("segment_id").agg(F.count("*").alias("kept"), F.sum("chars").alias("chars"))
+
+
+def q36_issue_filter(spark, d):
+    s = segments(spark, d).withColumn("chunk", F.concat_ws("/", "doc_id", F.floor(F.col("seq") / 20)))
+    r = review.filtered(s, _issues(spark, d), "segment_id", "chunk", codes=("style_tags_mismatch", "untranslated_fragments"), severities=("error",))
+    return r.select("segment_id", "chunk")
+
+
+def _edits(spark, d):
+    """Edits from fuzzy hits: each hit suggests its target for the segment."""
+    h = table(spark, d, "fuzzy_hits")
+    t = segments(spark, d, "target_tagged").select("segment_id", F.col("target_tagged").alias("current_target"))
+    e = h.join(t, "segment_id", "left").select(
+        "segment_id", F.concat(F.lit("c"), F.substring("segment_id", 1, 1)).alias("chunk_id"), F.when(F.col("hit_rank") % 2 == 0, "terminology").otherwise("style").alias("issue_type"), "current_target",
+        F.col("target_text").alias("suggested_target"), F.when(F.col("hit_rank") % 5 == 0, "No change needed.").when(F.col("hit_rank") % 7 == 0, "").otherwise("use the memory").alias("instruction"), F.col("similarity").alias("confidence"), "hit_rank", "source_hash",
+    )
+    return e.withColumn("edit_no", F.row_number().over(Window.partitionBy("segment_id").orderBy("hit_rank", "source_hash", F.coalesce("confidence", F.lit(-1.0)), "suggested_target")))
+
+
+def q37_edit_reasons(spark, d):
+    e = review.first_edits(_edits(spark, d))
+    why = review.reasons(F.col("current_target"), F.col("suggested_target"), F.col("instruction"), F.col("confidence"))
+    return e.select("segment_id", "edit_no", F.array_join(why, ",").alias("reasons"))
+
+
+def q38_apply_edits(spark, d):
+    s = segments(spark, d, "location", "target_tagged")
+    e = _edits(spark, d).withColumn("location", F.lit(None).cast("string"))
+    return review.apply_edits(s, e).select("segment_id", "applied", "skipped", F.length("target").alias("target_chars"))
+
+
+def q39_location_alignment(spark, d):
+    s = segments(spark, d, "location", "source_plain", "target_tagged").where(F.col("location").isNotNull()).withColumn("location", F.concat_ws("#", "doc_id", "location"))
+    return review.align_by_location(s.where(F.col("target_tagged").isNotNull()).select("location", "seq", F.col("target_tagged").alias("target")), s.where("seq % 50 != 0").select("location", "seq", F.col("source_plain").alias("source")))
+
+
+def _trace(spark, d):
+    """A trace from the event table; chunks are users, halves by parity of the event."""
+    e = table(spark, d, "events")
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("request", "response", "error", "split", "failed_chunk"))), (F.pmod(F.col("event_id"), F.lit(5)) + 1).cast("int"))
+    half = F.when(F.col("event_id") % 3 == 0, ".a").when(F.col("event_id") % 3 == 1, ".b").otherwise("")
+    zero = F.lit(None).cast("int")
+    t = e.select(F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 1999 == 0, "summary").otherwise(kind).alias("event"), F.concat(F.lit("c"), "user_id", F.when(kind == "request", "").otherwise(half)).alias("chunk_id"), F.floor(F.col("value")).cast("int").alias("edits_count"))
+    for c in ("requests_total", "requests_succeeded", "requests_failed", "chunks_failed", "suggestions_total"):
+        t = t.withColumn(c, F.when(F.col("event") == "summary", F.lit(100)).otherwise(zero))
+    return t
+
+
+def q40_trace_replay(spark, d):
+    return review.replay(_trace(spark, d))
+
+
+def q41_split_completion(spark, d):
+    return review.completed_roots(_trace(spark, d))
+
+
+def _blocks(spark, d):
+    return layout.distinct_blocks(table(spark, d, "pdf_blocks"))
+
+
+def _pages(spark, d):
+    return layout.distinct_pages(table(spark, d, "pdf_pages"))
+
+
+def q42_margin_repeat(spark, d):
+    return layout.repeated_margins(_blocks(spark, d), _pages(spark, d))
+
+
+def q43_block_types(spark, d):
+    b, p = _blocks(spark, d), _pages(spark, d)
+    return layout.classified(b, p, layout.repeated_margins(b, p)).groupBy("doc_id", "block_type").agg(F.count("*").alias("n"))
+
+
+def q44_block_islands(spark, d):
+    b, p = _blocks(spark, d), _pages(spark, d)
+    typed = layout.classified(b, p, layout.repeated_margins(b, p)).withColumn("column_index", F.lit(0))
+    m = layout.merged_blocks(typed)
+    return m.select("doc_id", "page_number", "segment_id", "blocks", F.round("x0", 3).alias("x0"), F.round("y1", 3).alias("y1"), F.length("text").alias("chars"))
+
+
+def q45_bbox_join(spark, d):
+    return layout.overlapping(_blocks(spark, d))
+
+
+def q46_two_columns(spark, d):
+    return layout.two_columns(_blocks(spark, d), _pages(spark, d))
+
+
+def q47_cluster_count(spark, d):
+    return _blocks(spark, d).groupBy("doc_id", "page_number").agg(F.collect_list("y0").alias("v")).select("doc_id", "page_number", layout.cluster_count(F.col("v"), 12.0).alias("clusters"))
+
+
+def q48_overflow_risk(spark, d):
+    s = segments(spark, d, "source_plain", "target_tagged", "width_twips", "height_twips", "in_table", "in_textbox", "in_frame").where(F.col("target_tagged").isNotNull())
+    return layout.overflow_issues(s)
+
+
+def _sections(spark, d):
+    a = table(spark, d, "eval_items").select(F.concat(F.lit("i"), "item_id").alias("key"), "text")
+    b = table(spark, d, "documents").where(F.length("text") > 0).select(F.concat(F.lit("d"), "doc_id").alias("key"), "text")
+    return a, b
+
+
+def q49_tfidf_cosine(spark, d):
+    a, b = _sections(spark, d)
+    ta, tb = alignment.section_tokens(a, "key", "text"), alignment.section_tokens(b, "key", "text")
+    total = a.count() + b.count()
+    wa, wb = alignment.weighted(ta, tb, total)
+    return alignment.cosine(wa, wb).where("cosine >= 0.2").select(F.col("a").alias("item"), F.col("b").alias("document"), F.round("cosine", 6).alias("cosine"))
+
+
+def q50_overlap_f1(spark, d):
+    a, b = _sections(spark, d)
+    f1 = alignment.overlap_f1(alignment.section_tokens(a, "key", "text"), alignment.section_tokens(b, "key", "text"))
+    return f1.where("f1 >= 0.25").select(F.col("a").alias("item"), F.col("b").alias("document"), F.round("f1", 6).alias("f1"))
+
+
+def q51_monotone_alignment(spark, d):
+    """The lines of each document of pages held against itself without every fifth page: a monotone mapping."""
+    b = _blocks(spark, d).groupBy("doc_id", "page_number").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
+    w = Window.partitionBy("doc_id").orderBy("page_number")
+    base = b.withColumn("column", F.row_number().over(w) - 1)
+    over = b.where("page_number % 5 != 0").withColumn("row", F.row_number().over(w) - 1)
+    key = lambda df, c: df.select(F.concat_ws("/", "doc_id", c).alias("key"), "text")
+    f1 = alignment.overlap_f1(alignment.section_tokens(key(over, "row"), "key", "text"), alignment.section_tokens(key(base, "column"), "key", "text"))
+    part = lambda c, i: F.split(F.col(c), "/")[i]
+    sim = f1.where(part("a", 0) == part("b", 0)).select(part("a", 0).alias("pair"), part("a", 1).cast("int").alias("row"), part("b", 1).cast("int").alias("column"), F.col("f1").alias("s"))
+    size = base.groupBy("doc_id").agg(F.count("*").alias("columns")).join(over.groupBy("doc_id").agg(F.count("*").alias("rows")), "doc_id").select(F.col("doc_id").alias("pair"), F.col("rows").cast("int").alias("rows"), F.col("columns").cast("int").alias("columns"))
+    return alignment.aligned(size, sim)
+
+
+def q52_marker_patterns(spark, d):
+    c = lambda p, name: F.sum(F.regexp_count(F.coalesce("source_tagged", F.lit("")), F.lit(p))).alias(name)
+    return segments(spark, d, "source_tagged").groupBy("doc_id").agg(c("⟦S_[0-9]+", "style_open"), c("⟦/S_[0-9]+", "style_close"), c("⟦BR", "breaks"), c("⟦OBJ_", "objects"))
+
+
+def q53_shield_roundtrip(spark, d):
+    s = segments(spark, d, "source_plain").where(F.col("source_plain").isNotNull()).withColumn("m", shield.shield(F.col("source_plain")))
+    return s.select("segment_id", F.size("m.map").alias("masked"), (shield.unshield(F.col("m.text"), F.col("m.map")) == F.col("source_plain")).alias("restored"))
+
+
+def q54_sizing(spark, d):
+    c = table(spark, d, "llm_config")
+    return c.select("config_id", usage.grouped_timeout(F.lit(60.0), F.col("batch_segments"), F.col("batch_max_chars")).alias("timeout"), usage.review_timeout(F.lit(90.0), F.col("batch_segments") * 8).alias("review_timeout"),
+                    F.greatest("max_output_tokens", usage.output_tokens(F.col("batch_max_chars"))).alias("output_tokens"), usage.workers(F.lit(4), F.lit(10), F.col("batch_max_chars")).alias("workers"))
+
+
+def q55_estimate(spark, d):
+    s = segments(spark, d, "source_plain", "is_toc_entry").withColumn("todo", T.needs_translation("source_plain"))
+    g = s.groupBy("doc_id").agg(F.count("*").alias("segments"), F.count_if(~F.coalesce("todo", F.lit(False))).alias("skipped"), F.count_if("is_toc_entry").alias("toc"), F.coalesce(F.median(F.when(F.length("source_plain") > 0, F.length("source_plain"))), F.lit(420.0)).cast("int").alias("median_chars"))
+    return g.withColumn("prepare_s", F.round(F.greatest(F.lit(2.0), F.col("segments") / 155), 4))
+
+
+def q56_page_spec(spark, d):
+    spec = F.lit("5,12,45-50,100,12")
+    part = F.split(spec, ",")
+    nums = F.array_sort(F.array_distinct(F.flatten(F.transform(part, lambda p: F.sequence(F.split(p, "-")[0].cast("int"), F.element_at(F.split(p, "-"), -1).cast("int"))))))
+    return spark.range(1).select(F.explode(nums).alias("page"))
+
+
+def q57_heartbeat_gaps(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.col("ts").cast("double") - F.lag("ts").over(w).cast("double")
+    e = table(spark, d, "events").withColumn("stale", gap > 3600.0)
+    return e.groupBy("user_id").agg(F.count("*").alias("beats"), F.count_if("stale").alias("gaps"))
+
+
+def q58_json_recovery(spark, d):
+    m = table(spark, d, "tm_exact").select("source_hash", "updated_at", "meta_json").distinct()
+    return m.select("source_hash", "updated_at", recover.recover_json(F.col("meta_json")).alias("payload"))
+
+
+def q59_missing_terms(spark, d):
+    t = _tagged(spark, d)
+    found = glossary.matches(t, _terms(spark, d), "segment_id", "source_plain")
+    return validate.missing_terms(found, t, "segment_id", "target_tagged").select(F.col("key").alias("segment_id"), "term")
+
+
+def q60_document_terms(spark, d):
+    s = segments(spark, d, "source_plain")
+    found = glossary.matches(s, _terms(spark, d), "segment_id", "source_plain")
+    return glossary.recent_terms(found, s, 5)
+
+
+def q61_rekey(spark, d):
+    m = current_memory(spark, d).withColumn("source_hash", F.when(F.length("source_norm") % 2 == 0, T.memory_key("source_norm", "old")).otherwise(F.col("source_hash")))
+    return memory.rekey(m, "old", "new").select("source_hash", "old_hash")
+
+
+def q62_token_index(spark, d):
+    i = memory.token_index(current_memory(spark, d))
+    return i.groupBy("token").agg(F.count("*").alias("entries"))
+
+
+def q63_progress_counts(spark, d):
+    """Progress states with their share and what is left."""
+    p = memory.latest_progress(table(spark, d, "progress"))
+    return p.groupBy("status").agg(F.count("*").alias("segments"), F.count("source_hash").alias("with_hash"), F.count_if(recover.error_kind(F.col("error")) == "timeout").alias("timeouts"))
+
+
+def q64_char_width(spark, d):
+    return layout.weighted_char_width(segments(spark, d, "spans"))
+
+
+def q65_expansion(spark, d):
+    """Expansion of translations by document: average and largest ratio, and how many exceed one and a half."""
+    s = _tagged(spark, d)
+    r = F.length(T.strip(T.strip_markers("target_tagged"))) / F.nullif(F.length(T.strip("source_plain")), F.lit(0))
+    return s.withColumn("r", r).groupBy("doc_id").agg(F.round(F.avg("r"), 6).alias("avg_ratio"), F.round(F.max("r"), 6).alias("max_ratio"), F.count_if(F.col("r") > 1.5).alias("over"))
+
+
+def q66_soft_wrap(spark, d):
+    wrap = F.pandas_udf(lambda s: pd.Series([None if t is None else ordered.soft_wrap(t).count("\n") for t in s], dtype="Int32"), "int")
+    return segments(spark, d, "source_plain").select("segment_id", wrap("source_plain").alias("breaks"))
 
 
 def queries():
-    return {}
+    return {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}
 
 
 def oracle_sql():
-    return {}
+    return oracle.SQL
