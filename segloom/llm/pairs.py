@@ -51,7 +51,7 @@ SUBJECT = (
     r"(?:translat|перев[оеё][дс]|перевест|traduc|traduire|übersetz|запрос|request|фрагмент|passage|assist|помочь|ответ|answer|сообщени|контекст|context|guideline|правил|инструкци|языков\w+ модел|language model|"
     r"\bcontent\b|\binput\b|обработать текст|process)"
 )
-_REFUSAL = [re.compile(x, re.I) for x in (OPENINGS, INABILITY, SUBJECT)]
+_REFUSAL = [re.compile(x) for x in (INABILITY, OPENINGS, SUBJECT)]  # for lower-case texts
 
 #: Letters that Russian lacks, and function words of its neighbours.
 FOREIGN_LETTERS = set("іїєґўјљњћђџќѓѕ")
@@ -63,11 +63,14 @@ def strip_markers(text: str) -> str:
 
 
 def is_refusal(text: str) -> bool:
-    opening, inability, subject = (p.search(text) is not None for p in _REFUSAL)
-    return inability and (opening or subject) or opening and subject
+    """Two of the three dictionaries speak of it: inability with one of the others, or an opening with the subject."""
+    inability, opening, subject = _REFUSAL
+    if inability.search(text):
+        return bool(opening.search(text) or subject.search(text))
+    return bool(opening.search(text) and subject.search(text))
 
 
-def is_copy(source: str, target: str, sizes: list | None = None) -> bool:
+def is_copy(source: str, target: str) -> bool:
     """The target is the source but for case, spacing, marks and a lead-in of at most two words; the source has ordinary words."""
     if not _ORDINARY.search(source):
         return False
@@ -88,33 +91,31 @@ def is_copy(source: str, target: str, sizes: list | None = None) -> bool:
     return missing <= len(s) // 10
 
 
-def is_other_language(target: str) -> bool:
-    low = target.lower()
-    latin = cyrillic = foreign = 0
-    for w in _WORD.findall(low):
-        if "а" <= w[0] <= "я" or w[0] in "ёіїєґў" or any("а" <= c <= "я" for c in w):
-            cyrillic += len(w)
-            foreign += any(c in FOREIGN_LETTERS for c in w) or w in FOREIGN_WORDS
-        else:
-            latin += len(w)
+_NOT_LATIN, _NOT_CYRILLIC = re.compile(r"[^a-zà-öø-ž]+"), re.compile(r"[^а-яёіїєґўјљњћђџќѓѕ]+")
+_FOREIGN = re.compile(rf"\w*[{''.join(sorted(FOREIGN_LETTERS))}]\w*|\b(?:{'|'.join(sorted(FOREIGN_WORDS))})\b")
+
+
+def is_other_language(target: str, latin: int, cyrillic: int) -> bool:
+    """Whether a text of so many Latin and Cyrillic letters is in another language than Russian."""
     if cyrillic > latin:
-        return foreign >= 2 or foreign == 1 and any(c in FOREIGN_LETTERS for c in low) and cyrillic < 60
+        hits = _FOREIGN.findall(target.lower())
+        return len(hits) >= 2 or len(hits) == 1 and cyrillic < 60 and any(c in FOREIGN_LETTERS for c in hits[0])
     plain = [w for w in _ORDINARY.findall(target) if not w.isupper() or target.isupper()]
     return len(plain) >= 2 and sum(map(len, plain)) > cyrillic
 
 
 def label(source: str | None, target: str) -> str | None:
     """The defect of a pair apart from truncation; the first that holds."""
-    t = strip_markers(target)
-    if not any(c.isalnum() for c in t):
+    t = strip_markers(target) if "⟦" in target else target
+    low = t.lower()
+    latin, cyrillic = len(_NOT_LATIN.sub("", low)), len(_NOT_CYRILLIC.sub("", low))
+    if not latin and not cyrillic and not any(c.isalnum() for c in t):
         return "empty"
-    if is_refusal(t):
+    if is_refusal(low):
         return "refusal"
-    latin = sum("a" <= c <= "z" for c in t.lower())
-    if latin * 2 >= sum(c.isalpha() for c in t) and latin:
-        if source and is_copy(source, t):
-            return "copied_source"
-    if source and is_other_language(t):
+    if source and latin and latin >= cyrillic and is_copy(source, t):
+        return "copied_source"
+    if source and is_other_language(t, latin, cyrillic):
         return "wrong_language"
     return None
 
@@ -185,7 +186,7 @@ def defects(all_pairs: DataFrame) -> DataFrame:
     udf = F.pandas_udf(lambda s, t: pd.Series([label(a, b) for a, b in zip(s, t)]), "string")
     rows = _tails(all_pairs.withColumn("src", F.coalesce("src", F.lit("")))).withColumn("other", udf("src", "tgt"))
     frag = _sentence(F.element_at(F.split("body", _BETWEEN), -1))
-    keep = rows.select("table_name", "record_key", "grp", "other", "mark", "final", "s1", "s2", "t1", "fewer", "broken_code", F.when(~F.col("final") & F.col("other").isNull(), frag).alias("frag"))
+    keep = rows.select("table_name", "record_key", "grp", "other", "mark", "final", "s1", "s2", "t1", "fewer", "broken_code", "body", F.when(~F.col("final") & F.col("other").isNull(), frag).alias("frag"))
     keep = materialize(keep)
     seen = keep.where(F.col("other").isNull())
     counts = materialize(seen.where(~F.col("mark")).groupBy("s2", "s1", "t1").agg(F.count("*").alias("k2"), F.sum(F.col("final").cast("int")).alias("f")))
@@ -204,7 +205,7 @@ def defects(all_pairs: DataFrame) -> DataFrame:
     # A text without a final mark that lacks whole sentences too stopped within its last one.
     open_end = known.withColumn("p", F.when(~F.col("fewer"), F.coalesce(same_code, "p2", "p1")).otherwise(F.lit(0.0))).where(F.col("p").isNull() | (F.col("p") < LEAST_SHARE))
     open_end = materialize(open_end.select("table_name", "record_key", "p", "mark", "fewer", "broken_code", "frag", F.coalesce("ended", F.lit(0)).alias("ended")))
-    evidence = _prefix_evidence(open_end, _tails(all_pairs.withColumn("src", F.lit(""))).select("body"))
+    evidence = _prefix_evidence(open_end, keep.select("body"))
     judged = open_end.join(evidence, "frag", "left")
     longer, whole = F.coalesce("longer", F.lit(0)), F.coalesce("whole", F.lit(0))
     early = F.col("mark") | F.col("broken_code") | (F.col("ended") == 0)
