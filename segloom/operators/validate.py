@@ -30,14 +30,19 @@ def untranslated_words(target: Column) -> tuple[Column, Column]:
     return odd, words
 
 
-def repeated_words(target: Column) -> Column:
-    """Cyrillic words that directly repeat, and word groups of two or three that do, distinct and sorted."""
-    w = F.transform(F.regexp_extract_all(T.strip_markers(target), F.lit("[А-Яа-яЁё]{2,}"), F.lit(0)), F.lower)
-    hits = []
-    for n in (1, 2, 3):
-        at = F.when(F.size(w) >= 2 * n, F.sequence(F.lit(1), F.size(w) - 2 * n + 1)).otherwise(F.array().cast("array<int>"))
-        hits.append(F.transform(F.filter(at, lambda i, n=n: F.slice(w, i, n) == F.slice(w, i + n, n)), lambda i, n=n: F.array_join(F.slice(w, i, n), " ")))
-    return F.array_sort(F.array_distinct(F.concat(*hits)))
+def cyrillic_words(target: Column) -> Column:
+    return F.transform(F.regexp_extract_all(T.strip_markers(target), F.lit("[А-Яа-яЁё]{2,}"), F.lit(0)), F.lower)
+
+
+def repeated_words(w: Column) -> Column:
+    """Words of a list that directly repeat, and groups of two or three that do, distinct and sorted."""
+    return F.array_sort(F.array_distinct(F.concat(*(_repeats(w, n) for n in (1, 2, 3)))))
+
+
+def _repeats(w: Column, n: int) -> Column:
+    at = F.when(F.size(w) >= 2 * n, F.sequence(F.lit(1), F.size(w) - 2 * n + 1)).otherwise(F.array().cast("array<int>"))
+    hit = F.filter(at, lambda i: F.slice(w, i, n) == F.slice(w, i + n, n))
+    return F.transform(hit, lambda i: F.array_join(F.slice(w, i, n), " "))
 
 
 def leaked_control(target: Column) -> Column:
@@ -54,18 +59,25 @@ def issues(pairs: DataFrame, key: str, source: str, target: str, source_tagged:
     """
     s, t = F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(target), F.lit(""))
     st, tt = F.coalesce(F.col(source_tagged or source), F.lit("")), F.coalesce(F.col(target_tagged or target), F.lit(""))
-    plain_s, plain_t = T.strip(T.strip_markers(s)), T.strip(T.strip_markers(t))
-    missing, extra = placeholder_diff(st, tt)
-    ls, lt = F.length(plain_s), F.length(plain_t)
-    odd, words = untranslated_words(t)
-    again, leaked = repeated_words(t), leaked_control(t)
-    share = F.size(odd) / F.greatest(F.size(words), F.lit(1))
+    odd_, words_ = untranslated_words(t)
+    # The token lists come first, so that each is made once a row.
+    base = pairs.select(
+        F.col(key).alias("key"), F.length(T.strip(T.strip_markers(s))).alias("ls"), F.length(T.strip(T.strip_markers(t))).alias("lt"), T.placeholders(st).alias("ps"), T.placeholders(tt).alias("pt"),
+        T.style_tokens(st).alias("ss"), T.style_tokens(tt).alias("sts"), T.numbers(s).alias("ns"), T.numbers(t).alias("nt"), odd_.alias("odd"), F.size(words_).alias("words"), cyrillic_words(t).alias("cw"), leaked_control(t).alias("leaked"),
+    )
+    ls, lt, odd, leaked = (F.col(c) for c in ("ls", "lt", "odd", "leaked"))
+    differ = F.array_sort("ps") != F.array_sort("pt")
+    missing, extra = T.multiset_minus(F.col("ps"), F.col("pt")), T.multiset_minus(F.col("pt"), F.col("ps"))
+    again = repeated_words(F.col("cw"))
+    base = base.withColumn("again", again)
+    again = F.col("again")
+    share = F.size(odd) / F.greatest(F.col("words"), F.lit(1))
     rule = lambda cond, code, severity, details: F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), details.alias("details")))
-    ratio = F.round(lt / ls, 4).cast("string")
+    ratio = F.concat_ws("/", lt, ls)
     found = F.array(
-        rule((F.size(missing) > 0) | (F.size(extra) > 0), ORDER[0], "error", F.concat(F.array_join(missing, ","), F.lit("/"), F.array_join(extra, ","))),
-        rule(T.style_tokens(st) != T.style_tokens(tt), ORDER[1], "error", F.concat(F.array_join(T.style_tokens(st), ","), F.lit("/"), F.array_join(T.style_tokens(tt), ","))),
-        rule(T.numbers(s) != T.numbers(t), ORDER[2], "warn", F.concat(F.array_join(T.numbers(s), ","), F.lit("/"), F.array_join(T.numbers(t), ","))),
+        rule(differ, ORDER[0], "error", F.concat(F.array_join(missing, ","), F.lit("/"), F.array_join(extra, ","))),
+        rule(F.col("ss") != F.col("sts"), ORDER[1], "error", F.concat(F.array_join("ss", ","), F.lit("/"), F.array_join("sts", ","))),
+        rule(F.col("ns") != F.col("nt"), ORDER[2], "warn", F.concat(F.array_join("ns", ","), F.lit("/"), F.array_join("nt", ","))),
         rule((ls > 0) & (lt == 0), ORDER[3], "error", F.lit("")),
         rule((ls > 0) & (lt > ls * high_ratio), ORDER[4], "warn", ratio),
         rule((ls >= short_from) & (lt > 0) & (lt < ls * short_ratio), ORDER[5], "warn", ratio),
@@ -73,7 +85,7 @@ def issues(pairs: DataFrame, key: str, source: str, target: str, source_tagged:
         rule(F.size(again) > 0, ORDER[7], "warn", F.array_join(again, ",")),
         rule(F.size(leaked) > 0, ORDER[8], "warn", F.array_join(leaked, ",")),
     )
-    return pairs.select(F.col(key).alias("key"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("key", "i.code", "i.severity", "i.details")
+    return base.select("key", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("key", "i.code", "i.severity", "i.details")
 
 
 def missing_terms(found: DataFrame, targets: DataFrame, key: str, target: str) -> DataFrame:

@@ -117,7 +117,12 @@ def _issues_of(code):
 
 
 q16_length_checks = _issues_of(("empty_translation", "length_ratio_high", "short_translation"))
-q17_untranslated = _issues_of(("untranslated_fragments",))
+
+
+def q17_untranslated(spark, d):
+    return _issues(spark, d).where("code = 'untranslated_fragments'").select(F.col("key").alias("segment_id"), "code")
+
+
 q18_repeated_tokens = _issues_of(("repeated_words",))
 q19_context_leak = _issues_of(("context_leakage",))
 
@@ -135,7 +140,7 @@ def _usage(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
     e = table(spark, d, "events")
     return e.select(F.lit("openai").alias("provider"), F.when(F.col("user_id") % 3 == 0, "model-s").when(F.col("user_id") % 3 == 1, "MODEL-L ").otherwise("unknown").alias("model"), F.col("event_type").alias("phase"),
-                    F.floor(F.col("value") * 10).cast("bigint").alias("input_tokens"), F.floor(F.col("value") * 3).cast("bigint").alias("output_tokens"), F.floor(F.col("value") * 13).cast("bigint").alias("total_tokens"), F.when(k % 2 == 0, F.round(F.col("value") / 100, 2)).alias("cost"))
+                    F.floor(F.col("value") * 10).cast("bigint").alias("input_tokens"), F.floor(F.col("value") * 3).cast("bigint").alias("output_tokens"), F.floor(F.col("value") * 13).cast("bigint").alias("total_tokens"), F.when(k % 2 == 0, F.floor("value") / F.lit(100.0)).alias("cost"))
 
 
 def q22_usage_snapshot(spark, d):
@@ -380,8 +385,8 @@ def q56_page_spec(spark, d):
 
 def q57_heartbeat_gaps(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts").cast("double") - F.lag("ts").over(w).cast("double")
-    e = table(spark, d, "events").withColumn("stale", gap > 3600.0)
+    gap = F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts"))
+    e = table(spark, d, "events").withColumn("stale", gap > 3600)
     return e.groupBy("user_id").agg(F.count("*").alias("beats"), F.count_if("stale").alias("gaps"))
 
 

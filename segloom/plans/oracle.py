@@ -1 +1,248 @@
-SQL = {}
+"""DuckDB counterparts of the catalogue. Regular expressions stay within what both engines share."""
+
+WS = r"[\t\n\x0B\f\r \x{85}\p{Z}]"
+LWS = r"[\t\x0B\f\r \x{85}\p{Z}]"
+
+
+def strip(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^{WS}+', ''), '{WS}+$', '')"
+
+
+def normalize(c: str) -> str:
+    t = f"regexp_replace(regexp_replace({c}, '\\r\\n?', chr(10), 'g'), '{LWS}+', ' ', 'g')"
+    return strip(f"regexp_replace({t}, ' ?\\n ?', chr(10), 'g')")
+
+
+def plain(c: str) -> str:
+    return f"regexp_replace({c}, '⟦[^⟧]*⟧', '', 'g')"
+
+
+def compact(c: str, n: int) -> str:
+    t = strip(f"regexp_replace({c}, '{WS}+', ' ', 'g')")
+    return f"CASE WHEN length({t}) <= {n} THEN {t} ELSE regexp_replace(substr({t}, 1, {n - 3}), ' +$', '') || '...' END"
+
+
+def count(c: str, p: str) -> str:
+    return f"len(regexp_extract_all({c}, '{p}'))"
+
+
+SEG = "seg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY extracted_at DESC NULLS LAST, doc_id, seq) AS rn FROM segments) WHERE rn = 1)"
+CUR = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_hash ORDER BY updated_at DESC NULLS LAST, source_norm DESC NULLS LAST, target_text DESC NULLS LAST) AS rn FROM tm_exact) WHERE rn = 1)"
+PRO = "pro AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY updated_at DESC NULLS LAST, status DESC NULLS LAST, source_hash DESC NULLS LAST, error DESC NULLS LAST) AS rn FROM progress) WHERE rn = 1)"
+BLK = f"blk AS (SELECT doc_id, page_number, block_id, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1, b.text AS text FROM (SELECT doc_id, page_number, block_id, min(struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1, text := text)) AS b FROM pdf_blocks GROUP BY ALL) WHERE length({strip('b.text')}) > 0)"
+PAG = "pag AS (SELECT doc_id, page_number, max(width_pt) AS width_pt, max(height_pt) AS height_pt FROM pdf_pages GROUP BY ALL)"
+TERM = f"""term AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY rank, target) AS rn FROM (
+  SELECT lower({strip('source')}) AS term, {strip('target')} AS target, rank FROM glossary) WHERE length(term) > 0 AND length(target) > 0) WHERE rn = 1)"""
+
+
+def term_key(c: str) -> str:
+    return f"(' ' || trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')) || ' ')"
+
+
+def found(src: str) -> str:
+    return f"SELECT s.segment_id AS key, t.term, t.target, t.rank FROM {src} s JOIN term t ON contains({term_key('s.source_plain')}, {term_key('t.term')}) AND length({term_key('t.term')}) > 2"
+
+
+TAG = "tag AS (SELECT * FROM seg WHERE target_tagged IS NOT NULL)"
+
+
+def minus(a: str, b: str) -> str:
+    """Multiset difference of two lists, sorted and joined."""
+    return f"array_to_string(list_sort(flatten(list_transform(list_distinct({a}), lambda x: list_transform(range(greatest(0, len(list_filter({a}, lambda y: y = x)) - len(list_filter({b}, lambda y: y = x)))), lambda i: x)))), ',')"
+
+
+ST = r"⟦/?S_[0-9]+(?:\|[^⟧|]+)*⟧"
+
+
+def style(c: str) -> str:
+    return f"regexp_extract_all(coalesce({c}, ''), '{ST}')"
+
+
+def holders(c: str) -> str:
+    return f"list_filter(regexp_extract_all(coalesce({c}, ''), '⟦[A-Z][A-Z0-9]*_[0-9]+⟧'), lambda x: NOT starts_with(x, '⟦S_'))"
+
+
+ALLOWED = "('amm','api','ata','cmm','docx','en','ipc','kg','kpa','mlg','mm','nlg','nm','oem','pdf','pn','psi','ru','safran','sb')"
+
+
+def repeats(n: int) -> str:
+    return f"list_transform(list_filter(range(1, greatest(1, len(cw) - {2 * n} + 2)), lambda i: cw[i : i + {n - 1}] = cw[i + {n} : i + {2 * n - 1}]), lambda i: array_to_string(cw[i : i + {n - 1}], ' '))"
+
+
+CONTROL = "DOC_SECTION|TABLE_CELL|TOC_ENTRY|MATCHED_GLOSSARY|DOCUMENT_GLOSSARY|TM_REFERENCES|RECENT_TRANSLATIONS"
+#: All issues but those of numbers, whose expression needs look-around.
+ISS = f"""base AS (SELECT segment_id AS key, length({strip(plain("coalesce(source_plain, '')"))}) AS ls, length({strip(plain('target_tagged'))}) AS lt,
+  {holders('shielded_tagged')} AS ps, {holders('target_shielded_tagged')} AS pt, {style('shielded_tagged')} AS ss, {style('target_shielded_tagged')} AS sts,
+  list_filter(regexp_extract_all({plain('target_tagged')}, '[A-Za-z][A-Za-z0-9/-]*'), lambda w: length(w) >= 3 AND lower(w) NOT IN {ALLOWED} AND NOT regexp_matches(w, '[0-9]') AND NOT (upper(w) = w AND length(w) <= 5)) AS odd,
+  {count(plain('target_tagged'), '[A-Za-zА-Яа-яЁё]+')} AS words,
+  list_transform(regexp_extract_all({plain('target_tagged')}, '[А-Яа-яЁё]{{2,}}'), lambda w: lower(w)) AS cw,
+  array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(target_tagged, '(?i)\\b({CONTROL})\\b', 1), regexp_extract_all(target_tagged, '(?i)\\b(PART|SECTION|PREV|NEXT)\\b\\s*[:=]', 1)), lambda x: upper(x)))), ',') AS leaked FROM tag),
+again AS (SELECT *, array_to_string(list_sort(list_distinct(list_concat({repeats(1)}, {repeats(2)}, {repeats(3)}))), ',') AS again FROM base),
+iss AS (
+ SELECT key, 'placeholders_mismatch' AS code, 'error' AS severity, {minus('ps', 'pt')} || '/' || {minus('pt', 'ps')} AS details FROM again WHERE list_sort(ps) <> list_sort(pt)
+ UNION ALL SELECT key, 'style_tags_mismatch', 'error', array_to_string(ss, ',') || '/' || array_to_string(sts, ',') FROM again WHERE ss <> sts
+ UNION ALL SELECT key, 'empty_translation', 'error', '' FROM again WHERE ls > 0 AND lt = 0
+ UNION ALL SELECT key, 'length_ratio_high', 'warn', lt || '/' || ls FROM again WHERE ls > 0 AND lt > ls * 3.0
+ UNION ALL SELECT key, 'short_translation', 'warn', lt || '/' || ls FROM again WHERE ls >= 24 AND lt > 0 AND lt < ls * 0.35::DOUBLE
+ UNION ALL SELECT key, 'untranslated_fragments', 'warn', '' FROM again WHERE len(odd) > 0 AND len(odd) / greatest(words, 1) >= 0.15::DOUBLE
+ UNION ALL SELECT key, 'repeated_words', 'warn', again FROM again WHERE again <> ''
+ UNION ALL SELECT key, 'context_leakage', 'warn', leaked FROM again WHERE leaked <> '')"""
+
+Q = f"""SELECT n.doc_id, n.segments, coalesce(q.issues, 0) AS issues, coalesce(q.errors, 0) AS errors, coalesce(q.warnings, 0) AS warnings, coalesce(q.mismatched, 0) AS mismatched, coalesce(q.layout_issues, 0) AS layout_issues,
+  round(greatest(0.0, 1 - coalesce(q.mismatched, 0) / n.segments), 6) AS compliance FROM (SELECT doc_id, count(*) AS segments FROM seg GROUP BY 1) n LEFT JOIN (
+  SELECT doc_id, count(*) AS issues, count_if(severity = 'error') AS errors, count_if(severity = 'warn') AS warnings, count(DISTINCT CASE WHEN code LIKE '%mismatch%' THEN key END) AS mismatched,
+  count_if(code LIKE '%layout%' OR code LIKE '%overflow%' OR code = 'length_ratio_high') AS layout_issues FROM iss JOIN seg ON key = segment_id GROUP BY 1) q USING (doc_id)"""
+
+USE = """use AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'model-s' WHEN user_id % 3 = 1 THEN 'MODEL-L ' ELSE 'unknown' END AS model, event_type AS phase, floor(value * 10)::BIGINT AS input_tokens, floor(value * 3)::BIGINT AS output_tokens,
+  floor(value * 13)::BIGINT AS total_tokens, CASE WHEN (props->>'$.k')::INT % 2 = 0 THEN floor(value) / 100 END AS cost FROM events)"""
+TOT = "count(*) AS requests, sum(greatest(0, input_tokens))::BIGINT AS input_tokens, sum(greatest(0, output_tokens))::BIGINT AS output_tokens, sum(greatest(0, total_tokens))::BIGINT AS total_tokens, round(sum(cost), 6) AS cost, count(cost) AS cost_records"
+
+LATIN, CYR = "[A-Za-z]", "[А-Яа-яЁё]"
+
+
+def todo(c: str) -> str:
+    l, y, lw, yw = count(c, LATIN), count(c, CYR), count(c, "[A-Za-z]+"), count(c, "[А-Яа-яЁё]{2,}")
+    return f"CASE WHEN {c} IS NULL OR {l} = 0 THEN false WHEN {y} = 0 THEN true WHEN ({y} >= 2 * {l} AND {lw} <= 14) OR {yw} > greatest(3, 2 * {lw}) THEN false ELSE NOT ({y} >= 3 * {l} AND {l} <= 12) END"
+
+
+def margin(c: str) -> str:
+    return strip(f"regexp_replace(regexp_replace(lower({c}), '[0-9]+', '#', 'g'), '{WS}+', ' ', 'g')")
+
+
+MAR = f"""mar AS (SELECT doc_id, kind, norm, count(DISTINCT page_number) AS pages FROM (SELECT doc_id, page_number, CASE WHEN y1 <= height_pt * 0.18::DOUBLE THEN 'header' WHEN y0 >= height_pt * 0.82::DOUBLE THEN 'footer' END AS kind, {margin('text')} AS norm
+  FROM blk JOIN pag USING (doc_id, page_number)) WHERE kind IS NOT NULL AND length(norm) >= 8 GROUP BY ALL HAVING pages >= 3)"""
+TYP = f"""typ AS (SELECT b.*, coalesce(m.kind, CASE WHEN y1 <= height_pt * 0.1::DOUBLE THEN 'header' WHEN y0 >= height_pt * 0.9::DOUBLE THEN 'footer' ELSE 'body' END) AS block_type
+  FROM blk b JOIN pag USING (doc_id, page_number) LEFT JOIN (SELECT doc_id, norm, min(kind) AS kind FROM mar GROUP BY ALL) m ON b.doc_id = m.doc_id AND {margin('b.text')} = m.norm)"""
+
+TOK = """tok AS (SELECT key, token, count(*) AS tf FROM (SELECT side, key, unnest(regexp_split_to_array(lower(text), '[^0-9A-Za-z\\x{0400}-\\x{04FF}]+')) AS token FROM (
+  SELECT 'a' AS side, 'i' || item_id AS key, text FROM eval_items UNION ALL SELECT 'b', 'd' || doc_id, text FROM documents WHERE length(text) > 0))
+  WHERE (length(token) > 1 OR regexp_matches(token, '^[0-9]$')) AND token NOT IN ('safran','landing','systems','uk','ltd','код','cage') GROUP BY ALL)"""
+
+
+def issues(codes: str) -> str:
+    return f"WITH {SEG}, {TAG}, {ISS} SELECT key AS segment_id, code, details FROM iss WHERE code IN ({codes})"
+
+
+TRA = """tra AS (SELECT line_no, event, 'c' || user_id || CASE WHEN kind = 'request' THEN '' ELSE half END AS chunk_id, edits FROM (SELECT event_id AS line_no, user_id, ['request','response','error','split','failed_chunk'][(event_id % 5) + 1] AS kind,
+  CASE WHEN event_id % 1999 = 0 THEN 'summary' ELSE ['request','response','error','split','failed_chunk'][(event_id % 5) + 1] END AS event, CASE event_id % 3 WHEN 0 THEN '.a' WHEN 1 THEN '.b' ELSE '' END AS half, floor(value)::INT AS edits FROM events))"""
+VAR = f"""var AS (SELECT * FROM (SELECT f.term, CASE WHEN contains(lower({plain('s.target_tagged')}), lower(f.target)) THEN f.target WHEN regexp_replace(lower(s.source_plain), '[^\\p{{L}}\\p{{N}}]+', '', 'g') = regexp_replace(lower(f.term), '[^\\p{{L}}\\p{{N}}]+', '', 'g')
+  THEN regexp_replace(regexp_replace({strip(plain('s.target_tagged'))}, '^[ .,:;!?]+', ''), '[ .,:;!?]+$', '') END AS variant, f.key FROM ({found('tag')}) f JOIN tag s ON f.key = s.segment_id) WHERE length(variant) > 0)"""
+JAC = """qs AS (SELECT segment_id AS q, list_distinct(list_transform(regexp_extract_all(source_plain, '[A-Za-zА-Яа-яЁё0-9]{2,}'), lambda x: lower(x))) AS tq FROM seg WHERE seq % 20 = 0),
+es AS (SELECT source_hash AS e, list_distinct(list_transform(regexp_extract_all(source_norm, '[A-Za-zА-Яа-яЁё0-9]{2,}'), lambda x: lower(x))) AS te FROM cur),
+jac AS (SELECT q, e, len(list_intersect(tq, te)) / (len(tq) + len(te) - len(list_intersect(tq, te))) AS j FROM qs JOIN es ON len(tq) > 0 AND len(te) > 0 AND len(tq) >= 0.7 * len(te) - 1e-9 AND len(te) >= 0.7 * len(tq) - 1e-9)"""
+EDI = """edi AS (SELECT h.segment_id, 'c' || substr(h.segment_id, 1, 1) AS chunk_id, CASE WHEN hit_rank % 2 = 0 THEN 'terminology' ELSE 'style' END AS issue_type, s.target_tagged AS cur_t, h.target_text AS sug, CASE WHEN hit_rank % 5 = 0 THEN 'No change needed.' WHEN hit_rank % 7 = 0 THEN '' ELSE 'use the memory' END AS ins,
+  h.similarity AS conf, row_number() OVER (PARTITION BY h.segment_id ORDER BY hit_rank NULLS FIRST, h.source_hash NULLS FIRST, coalesce(similarity, -1), h.target_text NULLS FIRST) AS edit_no FROM fuzzy_hits h LEFT JOIN seg s USING (segment_id))"""
+
+
+def rule(cond: str, name: str) -> str:
+    return f"CASE WHEN {cond} THEN '{name}' END"
+
+
+SQL = {
+    "q01_segments": f"""SELECT doc_id, (k - 1)::BIGINT AS seq, 'doc' || doc_id || '/p' || (k - 1) AS location, substr(sha1('doc' || doc_id || '/p' || (k - 1) || chr(10) || line), 1, 16) AS segment_id,
+      contains(lower(line), 'table of contents') OR regexp_matches(lower(line), '\\t[0-9]+\\s*$') OR regexp_matches(lower(line), '\\.{{6,}}\\s*[0-9]+\\s*$') AS is_toc
+      FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)) WHERE length({strip('line')}) > 0""",
+    "q02_normalize_hash": f"SELECT doc_id, sha256({normalize('text')}) AS hash, length({normalize('text')}) AS chars FROM documents",
+    "q03_compact_text": f"WITH {SEG} SELECT segment_id, {compact('source_plain', 60)} AS snippet FROM seg",
+    "q05_source_filter": f"WITH {SEG} SELECT segment_id, {todo(plain('target_tagged'))} AS needs_translation FROM seg",
+    "q06_exact_hits": f"WITH {PRO}, {CUR} SELECT p.segment_id, c.source_hash IS NOT NULL AS hit, length(c.target_text) AS target_chars FROM pro p LEFT JOIN cur c ON p.source_hash = c.source_hash",
+    "q07_memory_latest": f"WITH {CUR} SELECT source_hash, length(target_text) AS target_chars, f.created_at, c.updated_at FROM cur c JOIN (SELECT source_hash, min(created_at) AS created_at FROM tm_exact GROUP BY 1) f USING (source_hash)",
+    "q08_resume_reuse": f"WITH {PRO}, {CUR} SELECT s.segment_id, p.status, coalesce(p.status IN ('ok', 'tm'), false) AND c.source_hash IS NOT NULL AS reuse FROM (SELECT DISTINCT segment_id FROM segments) s LEFT JOIN pro p USING (segment_id) LEFT JOIN cur c ON p.source_hash = c.source_hash",
+    "q09_memory_search": f"WITH {CUR} SELECT source_hash, updated_at FROM cur WHERE contains(lower(source_norm), 'bearing race') OR contains(lower(target_text), 'bearing race') ORDER BY updated_at DESC, source_hash LIMIT 20",
+    "q10_token_jaccard_topk": f"WITH {SEG}, {CUR}, {JAC} SELECT q AS segment_id, e AS source_hash, jaccard, hit_rank FROM (SELECT q, e, round(j, 6) AS jaccard, row_number() OVER (PARTITION BY q ORDER BY round(j, 6) DESC, e) AS hit_rank FROM jac WHERE j >= 0.7 - 1e-12) WHERE hit_rank <= 3",
+    "q12_glossary_match": f"WITH {SEG}, {TERM}, f AS ({found('seg')}) SELECT key AS segment_id, term, pos FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank, term) AS pos FROM f) WHERE pos <= 24",
+    "q13_glossary_priority_merge": f"""SELECT term, target, origin FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY p, target) AS rn FROM (SELECT lower({strip('source')}) AS term, {strip('target')} AS target, origin, p FROM (
+      SELECT p_name AS source, p_type AS target, 'domain' AS origin, 1 AS p FROM part UNION ALL SELECT source, target, 'user', 0 FROM glossary)) WHERE regexp_matches(term, '\\S\\s+\\S') AND length(target) > 0) WHERE rn = 1""",
+    "q14_placeholder_multiset": f"WITH {SEG}, {TAG} SELECT * FROM (SELECT segment_id, {minus(holders('shielded_tagged'), holders('target_shielded_tagged'))} AS missing, {minus(holders('target_shielded_tagged'), holders('shielded_tagged'))} AS extra FROM tag) WHERE missing <> '' OR extra <> ''",
+    "q15_style_sequence": f"WITH {SEG}, {TAG} SELECT segment_id, len({style('source_tagged')}) AS source_tokens, len({style('target_tagged')}) AS target_tokens FROM tag WHERE {style('source_tagged')} <> {style('target_tagged')}",
+    "q16_length_checks": issues("'empty_translation', 'length_ratio_high', 'short_translation'"),
+    "q17_untranslated": f"WITH {SEG}, {TAG}, {ISS} SELECT key AS segment_id, 'untranslated_fragments' AS code FROM iss WHERE code = 'untranslated_fragments'",
+    "q18_repeated_tokens": issues("'repeated_words'"),
+    "q19_context_leak": issues("'context_leakage'"),
+    "q20_validate_all": f"WITH {SEG}, {TAG}, {ISS} SELECT key AS segment_id, code, severity FROM iss",
+    "q21_issue_histogram": f"WITH {SEG}, {TAG}, {ISS} SELECT code, severity, count(*) AS n FROM iss GROUP BY ALL",
+    "q22_usage_snapshot": f"WITH {USE}, u AS (SELECT * REPLACE (coalesce(nullif(lower(trim(phase)), ''), 'unknown') AS phase) FROM use) SELECT phase, {TOT} FROM u GROUP BY ROLLUP (phase)",
+    "q23_usage_cost": f"""WITH {USE}, p(m, i, o) AS (VALUES ('model-s', 0.5::DOUBLE, 1.5::DOUBLE), ('model-l', 2.0, 8.0)) SELECT model, count(*) AS requests, round(sum(c), 4) AS cost, count(c) AS priced FROM (
+      SELECT model, greatest(0, input_tokens) / 1e6 * i + greatest(0, output_tokens) / 1e6 * o AS c FROM use LEFT JOIN p ON lower(trim(model)) = m) GROUP BY 1""",
+    "q24_model_profile": """WITH m AS (SELECT config_id, ['gpt-5-mini-2026','gpt-5','gpt-4o-mini','gpt-5.2-x','gpt-50','gpt-5-nano'][config_id % 6 + 1] AS model FROM llm_config),
+      p(pos, prefix, ctx, tier) AS (VALUES (0, 'gpt-5.2', 400000, 'turbo'), (1, 'gpt-5-mini', 400000, 'turbo'), (2, 'gpt-5-nano', 400000, 'economy'), (3, 'gpt-5', 400000, 'turbo'), (4, 'gpt-4.1-mini', 1047576, 'balanced'), (5, 'gpt-4o-mini', 128000, 'economy'))
+      SELECT config_id, model, prefix AS profile, tier, ctx AS input_context FROM (SELECT *, row_number() OVER (PARTITION BY config_id, model ORDER BY pos) AS rn FROM m LEFT JOIN p ON model = prefix OR starts_with(model, prefix || '-')) WHERE rn = 1""",
+    "q25_document_quality": f"WITH {SEG}, {TAG}, {ISS} {Q}",
+    "q26_quality_summary": f"WITH {SEG}, {TAG}, {ISS}, q AS ({Q}) SELECT count(*) AS documents, sum(segments)::BIGINT AS segments, sum(issues)::BIGINT AS issues, sum(errors)::BIGINT AS errors, count_if(errors = 0) AS clean_documents, round(avg(compliance), 6) AS avg_compliance FROM q",
+    "q27_term_variants": f"WITH {SEG}, {TAG}, {TERM}, {VAR} SELECT term, variant, count(*) AS n, min(key) AS first_segment FROM var GROUP BY ALL",
+    "q28_inconsistencies": f"""WITH {SEG}, {TAG}, {TERM}, {VAR}, v AS (SELECT term, regexp_replace(lower(variant), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS vk, min(variant) AS variant, count(*) AS n FROM var GROUP BY ALL HAVING length(vk) > 0),
+      r AS (SELECT *, row_number() OVER w AS pos, lead(n) OVER w AS second FROM v WINDOW w AS (PARTITION BY term ORDER BY n DESC, lower(variant), variant)),
+      t AS (SELECT term, count(*) AS variants, sum(n)::BIGINT AS total, max(CASE WHEN pos = 1 AND n > coalesce(second, 0) THEN variant END) AS majority, max(CASE WHEN pos = 1 AND n > coalesce(second, 0) THEN n END) AS majority_count FROM r GROUP BY 1)
+      SELECT *, CASE WHEN majority IS NOT NULL THEN total - majority_count END AS minority_count FROM t WHERE variants >= 2""",
+    "q29_neighbours": f"WITH {SEG}, c AS (SELECT segment_id, doc_id, seq, {compact('source_plain', 40)} AS t FROM seg) SELECT segment_id, lag(t) OVER w AS prev_text, lead(t) OVER w AS next_text FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY seq, segment_id)",
+    "q30_recent_ring": f"WITH {SEG}, s AS (SELECT * FROM seg WHERE length({strip('target_tagged')}) > 0) SELECT segment_id, coalesce(array_to_string(list(segment_id) OVER (PARTITION BY doc_id ORDER BY seq, segment_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), ','), '') AS recent FROM s",
+    "q31_heading_carry": f"WITH {SEG} SELECT segment_id, last_value(CASE WHEN starts_with(lower(paragraph_style), 'heading') THEN source_plain END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq, segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM seg",
+    "q32_greedy_pack": f"""WITH RECURSIVE {SEG}, i AS (SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k, coalesce(length(shielded_tagged), 0) + 128 AS cost FROM seg),
+      f AS (SELECT doc_id, k, seq, 0::BIGINT AS group_no, 1 AS items, cost AS load FROM i WHERE k = 1 UNION ALL
+        SELECT i.doc_id, i.k, i.seq, CASE WHEN f.items >= 6 OR f.load + i.cost > 1000 THEN f.group_no + 1 ELSE f.group_no END, CASE WHEN f.items >= 6 OR f.load + i.cost > 1000 THEN 1 ELSE f.items + 1 END, CASE WHEN f.items >= 6 OR f.load + i.cost > 1000 THEN i.cost ELSE f.load + i.cost END
+        FROM f JOIN i ON i.doc_id = f.doc_id AND i.k = f.k + 1) SELECT doc_id, seq, group_no FROM f""",
+    "q33_page_chunks": f"""WITH {SEG}, p AS (SELECT doc_id, segment_id, seq, coalesce(page_number, try_cast(nullif(regexp_extract(location, '^pdf/p([0-9]+)(?:/|$)', 1), '') AS INT)) AS page FROM seg),
+      s AS (SELECT doc_id, count(page) >= greatest(1, floor(count(*) * 0.7::DOUBLE)) AS by_page FROM p GROUP BY 1), d AS (SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1) // 3 AS c FROM (SELECT DISTINCT doc_id, page FROM p WHERE page IS NOT NULL)),
+      l AS (SELECT doc_id, page, 'pages_' || min(page) OVER w || '_' || max(page) OVER w AS chunk_id FROM d WINDOW w AS (PARTITION BY doc_id, c)),
+      f AS (SELECT p.*, (row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1) // 40 AS k FROM p JOIN s USING (doc_id) WHERE NOT by_page)
+      SELECT doc_id, chunk_id, count(*) AS n, min(seq) AS first_seq FROM (SELECT p.doc_id, chunk_id, seq FROM p JOIN s USING (doc_id) JOIN l ON l.doc_id = p.doc_id AND l.page = p.page WHERE by_page
+      UNION ALL SELECT doc_id, 'segments_' || (k * 40 + 1) || '_' || (k * 40 + count(*) OVER (PARTITION BY doc_id, k)), seq FROM f) GROUP BY ALL""",
+    "q34_batch_eligibility": f"""WITH {SEG}, r AS (SELECT unnest([{rule('is_toc_entry', 'toc_entry')}, {rule("contains(coalesce(shielded_tagged, ''), '⟦BRLINE_')", 'contains_brline')}, {rule(f"len({style('shielded_tagged')}) > 16", 'too_many_style_tokens')}, {rule(f"len({holders('shielded_tagged')}) > 12", 'too_many_placeholders')}]) AS reason FROM seg)
+      SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1""",
+    "q35_budget_prefix": """WITH h AS (SELECT segment_id, source_hash, max(similarity) AS similarity, min(hit_rank) AS hit_rank, max(length(target_text)) AS chars FROM fuzzy_hits WHERE similarity >= 0 AND similarity <= 1 GROUP BY ALL),
+      r AS (SELECT *, sum(coalesce(chars, 0)) OVER w AS running FROM h WINDOW w AS (PARTITION BY segment_id ORDER BY similarity DESC, hit_rank NULLS FIRST, source_hash ROWS UNBOUNDED PRECEDING))
+      SELECT segment_id, count(*) AS kept, sum(chars)::BIGINT AS chars FROM r WHERE running <= 500 GROUP BY 1""",
+    "q36_issue_filter": f"""WITH {SEG}, {TAG}, {ISS}, c AS (SELECT segment_id, concat_ws('/', doc_id, (seq // 20)::VARCHAR) AS chunk FROM seg), h AS (SELECT DISTINCT key FROM iss WHERE code = 'style_tags_mismatch'),
+      m AS (SELECT c.*, h.key IS NOT NULL AS hit, bool_or(h.key IS NOT NULL) OVER (PARTITION BY chunk) AS any_hit FROM c LEFT JOIN h ON c.segment_id = h.key) SELECT segment_id, chunk FROM m WHERE hit OR NOT any_hit""",
+    "q37_edit_reasons": f"""WITH {SEG}, {EDI}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, segment_id, issue_type, {normalize('sug')}, {normalize('ins')} ORDER BY edit_no) AS rn FROM edi) WHERE rn = 1), g AS (SELECT segment_id, edit_no, coalesce(sug, '') AS s, coalesce(ins, '') AS i, coalesce(cur_t, '') AS c, conf FROM f)
+      SELECT segment_id, edit_no, array_to_string(list_filter([{rule(strip('s') + " = ''", 'missing_suggested_target')}, {rule(strip('i') + " = ''", 'missing_instruction')}, {rule(f"{strip('s')} <> '' AND {normalize('s')} = {normalize('c')}", 'no_op')}, {rule("regexp_matches(lower(i), 'no change|nothing to change|keep as is')", 'nochange_instruction')},
+      {rule('greatest(0, least(1, coalesce(conf, 0))) < 0.7::DOUBLE', 'low_confidence')}, {rule(f"{strip('s')} <> '' AND {style('s')} <> {style('c')}", 'style_tags_mismatch')}, {rule(f"{strip('s')} <> '' AND list_sort({holders('s')}) <> list_sort({holders('c')})", 'placeholders_mismatch')}], lambda x: x IS NOT NULL), ',') AS reasons FROM g""",
+    "q39_location_alignment": f"""WITH {SEG}, l AS (SELECT concat_ws('#', doc_id, location) AS location, seq, source_plain, target_tagged FROM seg WHERE location IS NOT NULL), o AS (SELECT location, max_by(target_tagged, seq) AS t FROM l WHERE target_tagged IS NOT NULL GROUP BY 1), s AS (SELECT location, max_by(source_plain, seq) AS s FROM l WHERE seq % 50 <> 0 GROUP BY 1)
+      SELECT count_if(t IS NOT NULL AND s IS NOT NULL AND {normalize('t')} <> {normalize('s')}) AS candidates, count_if({normalize('t')} = {normalize('s')}) AS equal, count_if(s IS NULL AND t IS NOT NULL) AS missing_source, count_if(t IS NULL AND s IS NOT NULL) AS missing_output FROM o FULL JOIN s USING (location)""",
+    "q40_trace_replay": f"""WITH {TRA}, m AS (SELECT max(line_no) AS last_no FROM tra WHERE event = 'summary'), a AS (SELECT tra.*, last_no FROM tra, m WHERE last_no IS NULL OR line_no > last_no)
+      SELECT count_if(event = 'request') + b AS requests_total, count_if(event = 'response') + b AS requests_succeeded, count_if(event = 'error') + b AS requests_failed, count_if(event = 'failed_chunk') + b AS chunks_failed, count_if(event = 'split') AS split_events,
+      (coalesce(sum(CASE WHEN event = 'response' THEN greatest(0, edits) END), 0) + b)::BIGINT AS suggestions_total, p AS summary_present FROM a RIGHT JOIN (SELECT CASE WHEN last_no IS NULL THEN 0 ELSE 100 END AS b, last_no IS NOT NULL AS p FROM m) ON true GROUP BY b, p""",
+    "q41_split_completion": f"""WITH {TRA}, d0 AS (SELECT DISTINCT chunk_id FROM tra WHERE event IN ('response', 'failed_chunk')), sp AS (SELECT DISTINCT chunk_id FROM tra WHERE event = 'split'),
+      d1 AS (SELECT chunk_id FROM d0 UNION SELECT chunk_id FROM sp WHERE chunk_id || '.a' IN (FROM d0) AND chunk_id || '.b' IN (FROM d0)), d2 AS (SELECT chunk_id FROM d1 UNION SELECT chunk_id FROM sp WHERE chunk_id || '.a' IN (FROM d1) AND chunk_id || '.b' IN (FROM d1))
+      SELECT DISTINCT chunk_id FROM tra WHERE event = 'request' AND NOT contains(chunk_id, '.') AND chunk_id IN (FROM d2)""",
+    "q42_margin_repeat": f"WITH {BLK}, {PAG}, {MAR} SELECT doc_id, kind, norm, pages FROM mar",
+    "q43_block_types": f"WITH {BLK}, {PAG}, {MAR}, {TYP} SELECT doc_id, block_type, count(*) AS n FROM typ GROUP BY ALL",
+    "q44_block_islands": f"""WITH {BLK}, {PAG}, {MAR}, {TYP}, f AS (SELECT *, CASE WHEN coalesce(block_type = lag(block_type) OVER w AND abs(x0 - lag(x0) OVER w) <= 24 AND y0 - lag(y1) OVER w <= 18, false) THEN 0 ELSE 1 END AS brk FROM typ WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY y0, x0, block_id)),
+      i AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, block_id ROWS UNBOUNDED PRECEDING) AS island FROM f), g AS (SELECT doc_id, page_number, island, min(x0) AS x0, min(y0) AS y0, max(y1) AS y1, count(*) AS blocks, length(string_agg(text, chr(10) ORDER BY y0, x0, block_id)) AS chars FROM i GROUP BY ALL)
+      SELECT doc_id, page_number, 'pdf-p' || page_number || '-s' || (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, island) - 1) AS segment_id, blocks, round(x0, 3) AS x0, round(y1, 3) AS y1, chars FROM g""",
+    "q45_bbox_join": f"WITH {BLK} SELECT a.doc_id, a.page_number, a.block_id AS a_id, b.block_id AS b_id FROM blk a JOIN blk b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.block_id < b.block_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1",
+    "q46_two_columns": f"""WITH {BLK}, {PAG}, c AS (SELECT *, {count('text', '[' + chr(92) + 'p{L}]')} >= 2 AND y0 >= height_pt * 0.08::DOUBLE AND y1 <= height_pt * 0.92::DOUBLE AND (x1 - x0 >= width_pt * 0.12::DOUBLE OR length(text) >= 18) AS cand, (x0 + x1) / 2 < width_pt / 2 AS lft FROM blk JOIN pag USING (doc_id, page_number)),
+      g AS (SELECT doc_id, page_number, max(width_pt) AS w, count_if(cand) AS n, count_if(cand AND lft) AS nl, count_if(cand AND NOT lft) AS nr, median(x0) FILTER (cand AND lft) AS xl, median(x0) FILTER (cand AND NOT lft) AS xr, median(x1 - x0) FILTER (cand AND lft) AS wl, median(x1 - x0) FILTER (cand AND NOT lft) AS wr, median(x1) FILTER (cand AND lft) AS el FROM c GROUP BY ALL),
+      t AS (SELECT *, coalesce(n >= 4 AND least(nl, nr) >= 2 AND least(nl, nr) >= n * 0.2::DOUBLE AND xr - xl >= w * 0.24::DOUBLE AND least(wl, wr) >= w * 0.18::DOUBLE AND greatest(wl, wr) <= least(wl, wr) * 2.4::DOUBLE AND xr - el >= w * 0.03::DOUBLE, false) AS two FROM g)
+      SELECT doc_id, page_number, CASE WHEN two THEN 2 ELSE 1 END AS columns, CASE WHEN two THEN round((el + xr) / 2, 3) END AS split_x FROM t""",
+    "q47_cluster_count": f"""WITH RECURSIVE {BLK}, v AS (SELECT doc_id, page_number, y0, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y0) AS k FROM blk),
+      f AS (SELECT doc_id, page_number, k, 1 AS n, y0 AS anchor FROM v WHERE k = 1 UNION ALL SELECT v.doc_id, v.page_number, v.k, CASE WHEN abs(v.y0 - anchor) <= 12 THEN n ELSE n + 1 END, CASE WHEN abs(v.y0 - anchor) <= 12 THEN (anchor + v.y0) / 2 ELSE v.y0 END FROM f JOIN v ON v.doc_id = f.doc_id AND v.page_number = f.page_number AND v.k = f.k + 1)
+      SELECT doc_id, page_number, max_by(n, k) AS clusters FROM f GROUP BY ALL""",
+    "q48_overflow_risk": f"""WITH {SEG}, {TAG}, c AS (SELECT *, length({strip("coalesce(source_plain, '')")}) AS ls, length({strip(plain('target_tagged'))}) AS lt, coalesce(in_textbox, false) OR coalesce(in_frame, false) AS boxed FROM tag),
+      d AS (SELECT *, CASE WHEN width_twips IS NULL OR (boxed AND height_twips IS NULL) THEN NULL ELSE greatest(1, CASE WHEN boxed THEN trunc(width_twips::DOUBLE * height_twips / (120.0 * 240.0))::INT ELSE trunc(width_twips / 120.0)::INT END) END AS capacity FROM c)
+      SELECT segment_id, unnest(list_filter([{rule('ls > 0 AND lt > ls * 1.5', 'length_ratio_high')}, {rule('in_table AND lt > trunc(capacity * 1.15::DOUBLE)', 'layout_table_overflow_risk')}, {rule('in_textbox AND CASE WHEN capacity IS NOT NULL THEN lt > trunc(capacity * 1.1::DOUBLE) ELSE ls > 0 AND lt > ls * 1.6::DOUBLE AND lt - ls >= 20 END', 'layout_textbox_overflow_risk')},
+      {rule('in_frame AND lt > trunc(capacity * 1.15::DOUBLE)', 'layout_frame_overflow_risk')}], lambda x: x IS NOT NULL)) AS code, lt AS target_chars, capacity FROM d""",
+    "q49_tfidf_cosine": f"""WITH {TOK}, n AS (SELECT (SELECT count(*) FROM eval_items) + (SELECT count(*) FROM documents WHERE length(text) > 0) AS t), f AS (SELECT token, count(*) AS df FROM tok GROUP BY 1),
+      iw AS (SELECT token, (ln((t + 1.0) / (df + 1.0)) + 1) * CASE WHEN starts_with(token, 'рисунок') OR starts_with(token, 'лист') THEN 2.0 WHEN regexp_matches(token, '^[0-9]{{1,9}}$') AND try_cast(token AS INT) BETWEEN 500 AND 999 THEN 1.5 ELSE 1.0 END AS w FROM f, n WHERE df <= 2 OR (df <= 0.25::DOUBLE * t AND length(token) >= 2)),
+      x AS (SELECT key, tok.token, tf * w AS w FROM tok JOIN iw USING (token)), nn AS (SELECT key, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1),
+      c AS (SELECT a.key AS item, b.key AS document, sum(a.w * b.w) AS dot FROM x a JOIN x b ON a.token = b.token AND starts_with(a.key, 'i') AND starts_with(b.key, 'd') GROUP BY ALL)
+      SELECT item, document, round(dot / (p.norm * q.norm), 6) AS cosine FROM c JOIN nn p ON p.key = item JOIN nn q ON q.key = document WHERE dot / (p.norm * q.norm) >= 0.2""",
+    "q50_overlap_f1": f"""WITH {TOK}, s AS (SELECT key, sum(tf) AS n FROM tok GROUP BY 1), c AS (SELECT a.key AS item, b.key AS document, sum(least(a.tf, b.tf)) AS s FROM tok a JOIN tok b ON a.token = b.token AND starts_with(a.key, 'i') AND starts_with(b.key, 'd') GROUP BY ALL)
+      SELECT item, document, round(2.0 * c.s / (p.n + q.n), 6) AS f1 FROM c JOIN s p ON p.key = item JOIN s q ON q.key = document WHERE 2.0 * c.s / (p.n + q.n) >= 0.25""",
+    "q52_marker_patterns": f"""WITH {SEG}, t AS (SELECT doc_id, coalesce(source_tagged, '') AS t FROM seg) SELECT doc_id, sum({count('t', '⟦S_[0-9]+')})::BIGINT AS style_open, sum({count('t', '⟦/S_[0-9]+')})::BIGINT AS style_close, sum({count('t', '⟦BR')})::BIGINT AS breaks, sum({count('t', '⟦OBJ_')})::BIGINT AS objects FROM t GROUP BY 1""",
+    "q54_sizing": """SELECT config_id, CASE WHEN batch_segments <= 1 THEN 60.0 ELSE greatest(60.0, CASE WHEN batch_max_chars >= 100000 THEN 360.0 WHEN batch_max_chars >= 60000 THEN 300.0 WHEN batch_max_chars >= 36000 THEN 180.0 ELSE 0.0 END) END AS timeout,
+      greatest(90.0, CASE WHEN batch_segments * 8 >= 160 THEN 300.0 WHEN batch_segments * 8 >= 120 THEN 240.0 WHEN batch_segments * 8 >= 80 THEN 180.0 WHEN batch_segments * 8 >= 40 THEN 120.0 ELSE 0.0 END) AS review_timeout,
+      greatest(max_output_tokens, trunc(trunc(batch_max_chars * 1.35::DOUBLE) / 2.2::DOUBLE)::INT + 420) AS output_tokens, greatest(1, least(4, 10, CASE WHEN batch_max_chars >= 60000 THEN 2 WHEN batch_max_chars >= 36000 THEN 3 ELSE 999 END)) AS workers FROM llm_config""",
+    "q55_estimate": f"""WITH {SEG} SELECT doc_id, count(*) AS segments, count_if(NOT ({todo('source_plain')})) AS skipped, count_if(is_toc_entry) AS toc, trunc(coalesce(median(length(source_plain)) FILTER (length(source_plain) > 0), 420))::INT AS median_chars, round(greatest(2.0, count(*) / 155), 4) AS prepare_s FROM seg GROUP BY 1""",
+    "q56_page_spec": "SELECT DISTINCT unnest([5, 12, 100] || range(45, 51)) AS page",
+    "q57_heartbeat_gaps": "WITH e AS (SELECT user_id, date_sub('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) > 3600 AS stale FROM events) SELECT user_id, count(*) AS beats, count_if(stale) AS gaps FROM e GROUP BY 1",
+    "q59_missing_terms": f"WITH {SEG}, {TAG}, {TERM}, f AS ({found('tag')}) SELECT f.key AS segment_id, f.term FROM f JOIN tag s ON f.key = s.segment_id WHERE NOT contains(lower({plain('s.target_tagged')}), lower(f.target))",
+    "q60_document_terms": f"""WITH {SEG}, {TERM}, f AS ({found('seg')}), o AS (SELECT DISTINCT s.doc_id, f.term, s.seq FROM f JOIN seg s ON f.key = s.segment_id), l AS (SELECT s.segment_id, o.term, max(o.seq) AS last FROM seg s JOIN o ON o.doc_id = s.doc_id AND o.seq < s.seq GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY last DESC, term DESC) AS rn FROM l) SELECT segment_id, string_agg(term, '|' ORDER BY last, term) AS terms FROM r WHERE rn <= 5 GROUP BY 1""",
+    "q61_rekey": f"WITH {CUR} SELECT sha256('v1' || chr(10) || 'new' || chr(10) || source_norm) AS source_hash, sha256('v1' || chr(10) || 'old' || chr(10) || source_norm) AS old_hash FROM cur WHERE length(source_norm) % 2 = 0",
+    "q62_token_index": f"WITH {CUR}, t AS (SELECT source_hash, unnest(list_distinct(list_transform(regexp_extract_all(source_norm, '[A-Za-zА-Яа-яЁё0-9]{{2,}}'), lambda x: lower(x)))) AS token FROM cur) SELECT token, count(*) AS entries FROM t GROUP BY 1",
+    "q63_progress_counts": f"WITH {PRO} SELECT status, count(*) AS segments, count(source_hash) AS with_hash, count_if(coalesce(regexp_matches(lower(error), 'timed? ?out|timeout|deadline|504'), false)) AS timeouts FROM pro GROUP BY 1",
+    "q64_char_width": f"""WITH {SEG}, e AS (SELECT segment_id, unnest(spans) AS s FROM seg), n AS (SELECT segment_id, coalesce(s.style.font_size_pt, 10.0) AS size, greatest(1, length(coalesce(s.source_text, ''))) AS n, regexp_replace(lower(coalesce(s.style.font_name, '')), '[^a-z0-9]', '', 'g') AS f FROM e)
+      SELECT segment_id, trunc(sum((CASE WHEN contains(f, 'narrow') OR contains(f, 'condensed') THEN 0.45::DOUBLE WHEN contains(f, 'courier') OR contains(f, 'mono') THEN 0.6::DOUBLE WHEN contains(f, 'arial') OR contains(f, 'helvetica') THEN 0.52::DOUBLE WHEN contains(f, 'times') THEN 0.46::DOUBLE ELSE 0.5::DOUBLE END) * size * 20 * n) / sum(n))::INT AS char_w FROM n GROUP BY 1""",
+    "q65_expansion": f"WITH {SEG}, {TAG}, r AS (SELECT doc_id, length({strip(plain('target_tagged'))}) / nullif(length({strip('source_plain')}), 0) AS r FROM tag) SELECT doc_id, round(avg(r), 6) AS avg_ratio, round(max(r), 6) AS max_ratio, count_if(r > 1.5) AS over FROM r GROUP BY 1",
+}
