@@ -34,7 +34,7 @@ LEAST_SHARE, SEEN = 0.02, 8
 _MARKER = re.compile("⟦[^⟧]*(?:⟧|$)")
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\w+")
-_ORDINARY = re.compile(r"(?<![\w\-/])[A-Za-zÀ-ž]{3,}(?![\w]*\d)(?!-\d)")
+_ORDINARY = re.compile(r"(?<![\w\-/])[A-Za-zÀ-ž]{3,}+(?![\w]*\d)(?!-\d)")
 
 #: The dictionaries of refusals.
 OPENINGS = (
@@ -141,7 +141,10 @@ def _tails(df: DataFrame) -> DataFrame:
     target has fewer sentences.
     """
     clean = F.regexp_replace(F.regexp_replace("tgt", "⟦[^⟧]*(⟧|$)", ""), r"[\p{Cf}]", "")
-    df = df.withColumn("_clean", F.regexp_replace(clean, r"(?U)\s+$", "")).withColumn("body", F.regexp_replace("_clean", r"(?U)([\s\x{FFFD}…]|\.{2,})+$", ""))
+    df = df.withColumn("_clean", F.regexp_replace(clean, r"(?U)(?<!\s)\s+$", ""))
+    # Each pattern starts only at the start of a run, so that long runs take linear time.
+    tail = r"(?U)(?<![\s\x{FFFD}….])[\s\x{FFFD}….]+$"
+    df = df.withColumn("body", F.when(F.regexp_extract("_clean", tail, 0).rlike(r"\.\.|[…\x{FFFD}]"), F.regexp_replace("_clean", tail, "")).otherwise(F.col("_clean")))
     mark = (F.col("body") != F.col("_clean")) & ~F.col("src").rlike(r"(…|\.{2,})\s*$") | F.col("tgt").rlike("⟦[^⟧]*$")
     df = df.withColumn("mark", mark).withColumn("final", F.col("body").rlike(r"[.!?][»”\"')\]]*$") & ~mark)
     df = df.withColumn("_ss", F.split("src", _BETWEEN)).withColumn("_nt", F.size(F.split("body", _BETWEEN)))
@@ -158,7 +161,7 @@ def _tails(df: DataFrame) -> DataFrame:
 
 def _sentence(text) -> F.Column:
     """Lower case, every token with a digit as one mark, white space as one blank."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[\w\-]*\d[\w\-]*", "#"), r"(?U)\s+", " ")
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)(?<![\w\-])(?=[\w\-]*\d)[\w\-]+", "#"), r"(?U)\s+", " ")
 
 
 def _prefix_evidence(suspects: DataFrame, texts: DataFrame) -> DataFrame:
