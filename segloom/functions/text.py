@@ -22,7 +22,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(F.regexp_replace(col(c), rf"^{WS}+", ""), rf"{WS}+$", "")
+    return F.regexp_replace(F.regexp_replace(col(c), rf"^{WS}+", ""), rf"(?<!{WS}){WS}+$", "")
 
 
 def normalize(c: Column | str) -> Column:
