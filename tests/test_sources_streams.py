@@ -78,3 +78,13 @@ def test_streams_equal_batch(spark, tmp_path):
     out = tmp_path / "status.json"
     state.snapshot_sink(str(out))(spark.createDataFrame([(1, "x")], "a int, b string"), 0)
     assert json.loads(out.read_text())["rows"] == [{"a": 1, "b": "x"}]
+
+
+def test_liveness_marks_beats(spark, tmp_path):
+    d = tmp_path / "beats"
+    d.mkdir()
+    (d / "1.json").write_text('{"session": "a"}\n{"session": "a"}\n', encoding="utf-8")
+    q = state.liveness(spark.readStream.schema("session string").json(str(d)), 3_600_000).writeStream.outputMode("update").format("memory").queryName("live").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    q.stop()
+    assert [(r["session"], r["stale"]) for r in spark.sql("select * from live").collect()] == [("a", False)]
