@@ -4,10 +4,12 @@ Truncation. Texts that lack a final mark are suspects. Two sources of evidence d
 
 * the terminal context: over all pairs it is counted which last word follows which last words of
   the source; a text that stops elsewhere than its source has stopped too early;
+  counted are distinct pairs of texts, so copies of a cut text don't make its last word an end;
 * a prefix self-join: all sentences of the corpus are cut into chunks of CHUNK characters, each
   keyed by the hash of the (fixed-length) prefix before it. A suspect's last fragment is looked
   up under the hash of its longest such prefix, which tells whether longer copies start with it
-  and whether it occurs as a whole sentence.
+  and whether it occurs as a whole sentence. It also judges suspects whose last word is frequent
+  only among texts that lack the final mark their source has.
 
 The other defects are found text by text: no letters or digits; a message of refusal, by
 dictionaries of openings, inability and subject; a copy, by the size of the response compressed
@@ -138,7 +140,7 @@ def _tails(df: DataFrame) -> DataFrame:
     ``body`` is the target without markers and without marks of a cut, ``mark`` whether it had any (a source that ends
     alike explains them), ``final`` whether it ends with a final mark, ``t1`` its last word and ``code`` its last token;
     ``s2, s1`` are the last words of the source sentence at the place of the target's last one, ``fewer`` whether the
-    target has fewer sentences.
+    target has fewer sentences, ``closed`` whether the source ends with a final mark.
     """
     clean = F.regexp_replace(F.regexp_replace("tgt", "⟦[^⟧]*(⟧|$)", ""), r"[\p{Cf}]", "")
     df = df.withColumn("_clean", F.regexp_replace(clean, r"(?U)(?<!\s)\s+$", ""))
@@ -147,6 +149,7 @@ def _tails(df: DataFrame) -> DataFrame:
     df = df.withColumn("body", F.when(F.regexp_extract("_clean", tail, 0).rlike(r"\.\.|[…\x{FFFD}]"), F.regexp_replace("_clean", tail, "")).otherwise(F.col("_clean")))
     mark = (F.col("body") != F.col("_clean")) & ~F.col("src").rlike(r"(…|\.{2,})\s*$") | F.col("tgt").rlike("⟦[^⟧]*$")
     df = df.withColumn("mark", mark).withColumn("final", F.col("body").rlike(r"[.!?][»”\"')\]]*$") & ~mark)
+    df = df.withColumn("closed", F.col("src").rlike(r"[.!?][»”\"')\]]*\s*$"))
     df = df.withColumn("_ss", F.split("src", _BETWEEN)).withColumn("_nt", F.size(F.split("body", _BETWEEN)))
     df = df.withColumn("_s", F.regexp_replace(F.lower(F.coalesce(F.get("_ss", F.col("_nt") - 1), "src")), r"\s*\([^()]{0,60}\)\s*\.?\s*$", "")).withColumn("fewer", F.col("_nt") < F.size("_ss"))
     end = F.lower(F.right("body", F.lit(120)))
@@ -189,29 +192,36 @@ def defects(all_pairs: DataFrame) -> DataFrame:
     udf = F.pandas_udf(lambda s, t: pd.Series([label(a, b) for a, b in zip(s, t)]), "string")
     rows = _tails(all_pairs.withColumn("src", F.coalesce("src", F.lit("")))).withColumn("other", udf("src", "tgt"))
     frag = _sentence(F.element_at(F.split("body", _BETWEEN), -1))
-    keep = rows.select("table_name", "record_key", "grp", "other", "mark", "final", "s1", "s2", "t1", "fewer", "broken_code", "body", F.when(~F.col("final") & F.col("other").isNull(), frag).alias("frag"))
+    keep = rows.select("table_name", "record_key", "grp", "other", "mark", "final", "s1", "s2", "t1", "fewer", "closed", "broken_code", "body", F.xxhash64("src", "tgt").alias("pair"), F.when(~F.col("final") & F.col("other").isNull(), frag).alias("frag"))
     keep = materialize(keep)
     seen = keep.where(F.col("other").isNull())
-    counts = materialize(seen.where(~F.col("mark")).groupBy("s2", "s1", "t1").agg(F.count("*").alias("k2"), F.sum(F.col("final").cast("int")).alias("f")))
-    n2 = counts.groupBy("s2", "s1").agg(F.sum("k2").alias("n2"))
-    k1 = counts.groupBy("s1", "t1").agg(F.sum("k2").alias("k1"))
-    n1 = counts.groupBy("s1").agg(F.sum("k2").alias("n1"))
-    ends = counts.groupBy("t1").agg(F.sum("f").alias("ended"))
-    own = (~F.col("mark")).cast("int")  # a suspect without a mark counts itself
+    texts = seen.where(~F.col("mark")).groupBy("s2", "s1", "t1", "pair").agg(F.max(F.col("final").cast("int")).alias("f"), F.count("*").alias("r"))
+    counts = materialize(texts.groupBy("s2", "s1", "t1").agg(F.count("*").alias("k2"), F.sum("f").alias("f2"), F.sum("r").alias("r2")))
+    n2 = counts.groupBy("s2", "s1").agg(F.sum("k2").alias("n2"), F.sum("f2").alias("nf2"), F.sum("r2").alias("nr2"))
+    k1 = counts.groupBy("s1", "t1").agg(F.sum("k2").alias("k1"), F.sum("f2").alias("f1"), F.sum("r2").alias("r1"))
+    n1 = counts.groupBy("s1").agg(F.sum("k2").alias("n1"), F.sum("f2").alias("nf1"), F.sum("r2").alias("nr1"))
+    ends = counts.groupBy("t1").agg(F.sum("f2").alias("ended"))
+    own = (~F.col("mark")).cast("int")  # the text of a suspect without a mark counts itself
     suspects = seen.where(~F.col("final"))
     known = (
-        suspects.join(counts.drop("f"), ["s2", "s1", "t1"], "left").join(n2, ["s2", "s1"], "left").join(k1, ["s1", "t1"], "left").join(n1, "s1", "left").join(ends, "t1", "left")
-        .withColumn("p2", F.when(F.col("n2") - own >= SEEN, (F.coalesce("k2", F.lit(0)) - own) / (F.col("n2") - own)))
-        .withColumn("p1", F.when(F.col("n1") - own >= SEEN, (F.coalesce("k1", F.lit(0)) - own) / (F.col("n1") - own)))
+        suspects.join(counts, ["s2", "s1", "t1"], "left").join(n2, ["s2", "s1"], "left").join(k1, ["s1", "t1"], "left").join(n1, "s1", "left").join(ends, "t1", "left")
     )
     same_code = F.when(F.col("s1").rlike(r"\d"), (F.col("s1") == F.col("t1")).cast("double"))
     # A text without a final mark that lacks whole sentences too stopped within its last one.
-    open_end = known.withColumn("p", F.when(~F.col("fewer"), F.coalesce(same_code, "p2", "p1")).otherwise(F.lit(0.0))).where(F.col("p").isNull() | (F.col("p") < LEAST_SHARE))
-    open_end = materialize(open_end.select("table_name", "record_key", "p", "mark", "fewer", "broken_code", "frag", F.coalesce("ended", F.lit(0)).alias("ended")))
+    share = lambda k, n: F.when(F.col(n) - own >= SEEN, (F.coalesce(k, F.lit(0)) - own) / (F.col(n) - own))
+    # Headings have no final mark and repeat as they are: where the source has none either, the rows count too.
+    rows_share = F.when(~F.col("closed"), F.coalesce(share("r2", "nr2"), share("r1", "nr1")))
+    usual_end = F.greatest(F.coalesce(share("k2", "n2"), share("k1", "n1")), rows_share)  # without nulls
+    known = known.withColumn("p", F.when(~F.col("fewer"), F.coalesce(same_code, usual_end)).otherwise(F.lit(0.0)))
+    # The share of the last word among texts with a final mark alone, which no number of cut texts raises.
+    final_share = F.coalesce(F.when(F.col("nf2") >= SEEN, F.coalesce("f2", F.lit(0)) / F.col("nf2")), F.when(F.col("nf1") >= SEEN, F.coalesce("f1", F.lit(0)) / F.col("nf1")), (F.coalesce("ended", F.lit(0)) > 0).cast("double"))
+    usual = F.coalesce(F.col("p") >= LEAST_SHARE, F.lit(False))
+    open_end = known.withColumn("usual", usual).where(~F.col("usual") | F.col("closed") & (F.coalesce(same_code, F.lit(0.0)) < 1) & (final_share < LEAST_SHARE))
+    open_end = materialize(open_end.select("table_name", "record_key", "p", "usual", "mark", "fewer", "broken_code", "frag", F.coalesce("ended", F.lit(0)).alias("ended")))
     evidence = _prefix_evidence(open_end, keep.select("body"))
     judged = open_end.join(evidence, "frag", "left")
     longer, whole = F.coalesce("longer", F.lit(0)), F.coalesce("whole", F.lit(0))
     early = F.col("mark") | F.col("broken_code") | (F.col("ended") == 0)
-    cut = F.when(F.col("p").isNull(), early | (longer > 0) & (whole == 0)).otherwise(early | (longer > 0) | (whole == 0) | ~F.col("fewer"))
+    cut = F.when(F.col("usual"), (longer > 0) & (whole == 0)).when(F.col("p").isNull(), early | (longer > 0) & (whole == 0)).otherwise(early | (longer > 0) | (whole == 0) | ~F.col("fewer"))
     found = judged.where(cut).select("table_name", "record_key").distinct().withColumn("cut", F.lit(True))
     return keep.join(found, ["table_name", "record_key"], "left").select("table_name", "record_key", "grp", F.coalesce("other", F.when(F.col("cut") & ~F.col("final"), F.lit("truncated"))).alias("defect_type"))

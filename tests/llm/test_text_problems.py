@@ -49,6 +49,16 @@ def test_defects_of_nothing_and_odd_rows(spark):
     assert len(got) == 4 and {r["defect_type"] for r in got if r["record_key"] == "b"} == {"empty"}
 
 
+def test_copies_of_cut_texts_are_found(spark):
+    """Neither copies of a cut text nor variants of it with other numbers make its last word a usual end."""
+    rows = _pair_rows() + [(f"hot{i}", "Clean the bolt before each flight.", "Очистите болт перед каждым пол") for i in range(40)]
+    rows += [(f"var{i}", f"Clean the hinge {i} before each flight.", f"Очистите петлю {i} перед каждым") for i in range(40)] + [(f"n{i}", f"Clean the hinge {i} before each flight.", f"Очистите петлю {i} перед каждым полётом.") for i in range(50, 60)]
+    rows += [(f"head{i}", "Vent line", "Дренажная трубка") for i in range(20)] + [("sentence", "Vent line is blue.", "Дренажная трубка синяя.")] + [(f"line{i}", f"Hold the blue {w} line", f"Удерживайте {w}") for i, w in enumerate("abcdefghij" * 2)]
+    df = spark.createDataFrame([("t", k, None, s, t) for k, s, t in rows], "table_name string, record_key string, grp string, src string, tgt string")
+    got = {r["record_key"] for r in pairs.defects(df).where("defect_type = 'truncated'").collect()}
+    assert got == {"cut_word", "cut_mark", "cut_sentence"} | {f"hot{i}" for i in range(40)} | {f"var{i}" for i in range(40)}
+
+
 @pytest.mark.parametrize(("s", "t", "want"), [("Vent line", "«Vent line»", True), ("Vent line", "Дренажная трубка", False), ("840", "840", False), ("SB 63-2682", "SB 63-2682", False), ("Hold the valve near the bolt.", "hold  the valve near the bolt", True)])
 def test_copies(s, t, want):
     assert pairs.is_copy(s, t) is want
