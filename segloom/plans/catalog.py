@@ -127,12 +127,17 @@ q18_repeated_tokens = _issues_of(("repeated_words",))
 q19_context_leak = _issues_of(("context_leakage",))
 
 
+def _sql_issues(spark, d):
+    """The issues of the rules that SQL can express too: all but the one of numbers. ``q67`` to ``q70`` have all nine rules."""
+    return _issues(spark, d).where("code != 'numbers_mismatch'")
+
+
 def q20_validate_all(spark, d):
-    return _issues(spark, d).where("code != 'numbers_mismatch'").select(F.col("key").alias("segment_id"), "code", "severity")
+    return _sql_issues(spark, d).select(F.col("key").alias("segment_id"), "code", "severity")
 
 
 def q21_issue_histogram(spark, d):
-    return validate.histogram(_issues(spark, d).where("code != 'numbers_mismatch'"))
+    return validate.histogram(_sql_issues(spark, d))
 
 
 def _usage(spark, d):
@@ -162,7 +167,7 @@ def q24_model_profile(spark, d):
 
 
 def _quality(spark, d):
-    return usage.document_quality(segments(spark, d), _issues(spark, d).where("code != 'numbers_mismatch'"))
+    return usage.document_quality(segments(spark, d), _sql_issues(spark, d))
 
 
 def q25_document_quality(spark, d):
@@ -439,6 +444,27 @@ def q66_soft_wrap(spark, d):
     return segments(spark, d, "source_plain").select("segment_id", wrap("source_plain").alias("breaks"))
 
 
+def q67_validate_all_rules(spark, d):
+    """As ``q20``, by all nine rules."""
+    return _issues(spark, d).select(F.col("key").alias("segment_id"), "code", "severity")
+
+
+def q68_issue_histogram_all_rules(spark, d):
+    return validate.histogram(_issues(spark, d))
+
+
+def _quality_all_rules(spark, d):
+    return usage.document_quality(segments(spark, d), _issues(spark, d))
+
+
+def q69_document_quality_all_rules(spark, d):
+    return _quality_all_rules(spark, d)
+
+
+def q70_quality_summary_all_rules(spark, d):
+    return usage.quality_summary(_quality_all_rules(spark, d))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}
 
