@@ -50,6 +50,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_links(spark, d).select("source_hash", "source_line", "target_line").distinct()
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = align.aligned_groups(current_memory(spark, d), "source_hash", "source_norm", "target_text")
+    return rows.select(F.col("key").alias("source_hash"), "kind", "source_lines", "target_lines", F.round("similarity", 6).alias("similarity"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return scan.noise_kinds(table(spark, d, "segments"), table(spark, d, "pdf_blocks"), table(spark, d, "pdf_pages"))
 

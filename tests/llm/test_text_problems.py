@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,25 @@ def test_alignment(spark):
     assert {r["key"] for r in got} == {"m"}
 
 
+@pytest.mark.parametrize("sims", [(0.6, 0.5), (0.7, 0.6), (0.48, 0.46), (0.48, 0.47, 0.46, 0.45), (0.4,) * 8])
+def test_merges_and_splits_keep_their_links(sims):
+    sim = np.array(sims)[:, None]
+    assert align.links(sim) == [(i, 0) for i in range(len(sims))] and align.links(sim.T) == [(0, i) for i in range(len(sims))]
+
+
+def test_sentences_like_a_linked_one_do_not_join_it():
+    alike = np.array([[1, 0.5], [0.5, 1]])
+    assert align.links(np.array([[0.9], [0.45]]), alike) == [(0, 0)]
+    assert align.links(np.array([[0.9], [0.2]])) == [(0, 0)]
+
+
+def test_alignment_groups():
+    table = {w: [(align.stem(t), 0.9)] for w, t in {"clean": "очистите", "valve": "клапан", "hold": "держите", "bolt": "болт", "lift": "поднимите", "cover": "крышку", "wash": "вымойте", "seat": "сиденье"}.items()}
+    got = align.align_groups("Clean valve.\nHold bolt.\nLift cover.\nWash seat; hold cover.\nAlpha beta.", "Очистите клапан, держите болт.\nПоднимите крышку.\nВымойте сиденье.\nДержите крышку.\nГамма.", table)
+    assert {(r["kind"], *r["source_lines"], "/", *r["target_lines"]) for r in got} == {("merge", 0, 1, "/", 0), ("1-1", 2, "/", 1), ("split", 3, "/", 2, 3), ("omission", 4, "/"), ("addition", "/", 4)}
+    assert align.align_groups("", "", {}) == []
+
+
 # -- problem 6 -----------------------------------------------------------------------------------------------------------
 def _scan_tables(spark):
     seg = [(f"c{i}", "man", i, 1, None, "Install the steering collar near the gearbox cover. Tighten the self-sealing coupling before each flight.", None, "body/p1") for i in range(30)]
