@@ -191,6 +191,20 @@ def test_confusions_cost_little(a, b, most):
     assert scan.weighted_distance(a, b) <= most and scan.weighted_distance("landing", "landings") == 1
 
 
+def test_plain_misreads_need_bigrams(spark):
+    """A lost, added or other letter, four confusions, ! and $ are repaired; inflections and words that stand elsewhere are not."""
+    base = [(f"b{i}", "Clean the steering collar before landing. Install the millilitre gauge by the lever screw.") for i in range(60)]
+    bad = {"other": ("Clean the steering cullar before landing.", "collar"), "lost": ("Clean the steerng collar", "steering"), "added": ("Clean the steeriang collar", "steering"), "four": ("Install the mi1|i1itrc gauge", "millilitre"), "sign": ("by the l!ever screw", None), "dollar": ("by the lever $crew", "screw"), "bang": ("Clean the co!lar before", "collar")}
+    good = {"plural": "Clean the steering collars before", "elsewhere": "Paint a cullar", "end": "Hold the lever! screw it"}
+    rows = base + [(k, t) for k, (t, _) in bad.items()] + list(good.items())
+    seg = spark.createDataFrame([(k, "d", i, 1, None, t, None, "pdf/p1") for i, (k, t) in enumerate(rows)], SEG)
+    _, b, p = _scan_tables(spark)
+    _, _, repairs = scan.analyse(seg, b.limit(0), p)
+    got = {r["record_key"]: r["c"] for r in repairs.collect()}
+    assert got == {k: c for k, (_, c) in bad.items() if c}
+    assert scan._repair("by the $crew", [{"before": "the", "w": "$crew", "c": "screw"}]) == "by the screw"
+
+
 # -- problem 7 -----------------------------------------------------------------------------------------------------------
 def test_lookalikes(spark):
     base = "Align the vent line at the mètre mark 5"
