@@ -205,6 +205,17 @@ def test_plain_misreads_need_bigrams(spark):
     assert scan._repair("by the $crew", [{"before": "the", "w": "$crew", "c": "screw"}]) == "by the screw"
 
 
+def test_compounds_beyond_the_common_words_keep_their_hyphen(spark, monkeypatch):
+    """What is a compound does not depend on its rank."""
+    monkeypatch.setattr(scan, "COMMON_WORDS", 1)
+    rows = [(f"c{i}", "Use the self-sealing coupling, the self-sealing hose and the cross-feed valve.", "body/p1") for i in range(9)]
+    rows += [("s1", "Close the cross-\nfeed valve and the self-\nsealing hose.", "pdf/p1"), ("s2", "Close the val-\nve now.", "pdf/p1"), ("s2", "Close the val-\nve now.", "pdf/p1")]
+    seg = spark.createDataFrame([(k, "d", i, 1, None, t, None, at) for i, (k, t, at) in enumerate(rows)], SEG)
+    _, b, p = _scan_tables(spark)
+    _, bodies, _ = scan.analyse(seg, b.limit(0), p)
+    assert [tuple(r) for r in bodies.select("record_key", "clean", "broken").orderBy("record_key").collect()] == [("s1", "Close the cross-feed valve and the self-sealing hose.", 0), *[("s2", "Close the valve now.", 1)] * 2]
+
+
 # -- problem 7 -----------------------------------------------------------------------------------------------------------
 def test_lookalikes(spark):
     base = "Align the vent line at the mètre mark 5"
