@@ -11,10 +11,10 @@ PAGE = ["doc_id", "page_number"]
 
 
 def distinct_blocks(blocks: DataFrame) -> DataFrame:
-    """One row per block key; exact copies fall together, other copies to the smallest geometry and text."""
+    """One row per block key; exact copies fall together, other copies to the smallest geometry and text, then to the smallest known column."""
     cols = ["x0", "y0", "x1", "y1", "text"]
-    one = blocks.groupBy(*PAGE, "block_id").agg(F.min(F.struct(*cols)).alias("b"))
-    return one.select(*PAGE, "block_id", *(F.col(f"b.{c}").alias(c) for c in cols)).where(F.length(T.strip("text")) > 0)
+    one = blocks.groupBy(*PAGE, "block_id").agg(F.min(F.struct(*cols, F.col("column_index").isNull().alias("unknown"), "column_index")).alias("b"))
+    return one.select(*PAGE, "block_id", *(F.col(f"b.{c}").alias(c) for c in (*cols, "column_index"))).where(F.length(T.strip("text")) > 0)
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:

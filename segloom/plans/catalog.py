@@ -301,11 +301,18 @@ def q43_block_types(spark, d):
     return layout.classified(b, p, layout.repeated_margins(b, p)).groupBy("doc_id", "block_type").agg(F.count("*").alias("n"))
 
 
-def q44_block_islands(spark, d):
+def _islands(typed):
+    return layout.merged_blocks(typed).select("doc_id", "page_number", "segment_id", "blocks", F.round("x0", 3).alias("x0"), F.round("y1", 3).alias("y1"), F.length("text").alias("chars"))
+
+
+def _typed_blocks(spark, d):
     b, p = _blocks(spark, d), _pages(spark, d)
-    typed = layout.classified(b, p, layout.repeated_margins(b, p)).withColumn("column_index", F.lit(0))
-    m = layout.merged_blocks(typed)
-    return m.select("doc_id", "page_number", "segment_id", "blocks", F.round("x0", 3).alias("x0"), F.round("y1", 3).alias("y1"), F.length("text").alias("chars"))
+    return layout.classified(b, p, layout.repeated_margins(b, p))
+
+
+def q44_block_islands(spark, d):
+    """Pages as one column, as the SQL takes them; ``q71`` keeps the columns apart."""
+    return _islands(_typed_blocks(spark, d).withColumn("column_index", F.lit(0)))
 
 
 def q45_bbox_join(spark, d):
@@ -465,6 +472,11 @@ def q70_quality_summary_all_rules(spark, d):
     return usage.quality_summary(_quality_all_rules(spark, d))
 
 
+def q71_column_block_islands(spark, d):
+    """As ``q44``, within the columns of the pages."""
+    return _islands(_typed_blocks(spark, d))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}
 

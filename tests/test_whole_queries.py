@@ -29,3 +29,14 @@ def test_differing_numbers_are_in_all_issue_queries(spark, pairs_dir):
     by_doc = {r["doc_id"]: r for r in q["q69_document_quality_all_rules"](spark, d).collect()}
     assert {k: (r["issues"], r["mismatched"]) for k, r in by_doc.items()} == {"d0": (2, 2), "d1": (2, 1)}
     assert q["q70_quality_summary_all_rules"](spark, d).first()["issues"] == len(got) == 4
+
+
+def test_blocks_are_merged_within_their_columns(spark, tmp_path):
+    d = str(tmp_path)
+    blocks = [("d", 1, 2 * i + c, x, 100.0 + 14 * i, x + 200, 112.0 + 14 * i, f"{'lr'[c]}{i}", c) for i in range(3) for c, x in ((0, 60.0), (1, 340.0))]
+    blocks += [blocks[0], (*blocks[0][:8], None), ("d", 2, 0, 60.0, 100.0, 260.0, 112.0, "a", None), ("d", 2, 1, 60.0, 114.0, 260.0, 126.0, "b", None)]
+    spark.createDataFrame(blocks, "doc_id string, page_number int, block_id int, x0 double, y0 double, x1 double, y1 double, text string, column_index int").write.parquet(f"{d}/pdf_blocks.parquet")
+    spark.createDataFrame([("d", p, 595.0, 842.0) for p in (1, 2)], "doc_id string, page_number int, width_pt double, height_pt double").write.parquet(f"{d}/pdf_pages.parquet")
+    got = sorted((r["page_number"], r["x0"], r["blocks"], r["chars"]) for r in catalog.queries()["q71_column_block_islands"](spark, d).collect())
+    assert got == [(1, 60.0, 3, 8), (1, 340.0, 3, 8), (2, 60.0, 2, 3)]
+    assert catalog.queries()["q44_block_islands"](spark, d).where("page_number = 1").count() == 6
