@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled texts used for training, at most so many of each label.
@@ -156,14 +156,19 @@ def known_words(documents: DataFrame, text: str = "text") -> set[str]:
 
 
 def labelled_sample(documents: DataFrame, known: set[str], text: str = "text", host: str = "source", per_label: int = SAMPLE_PER_LABEL, held_out: bool = False) -> list[tuple[str, int]]:
-    """Texts with weak labels, the first ``per_label`` of each by hash, of the hosts used for training, or of those left out."""
+    """Distinct texts with weak labels, the first ``per_label`` of each by hash, of the hosts used for training, or of those left out."""
     shared = documents.sparkSession.sparkContext.broadcast(known)
     label = F.pandas_udf(lambda s: pd.Series([weak_label(t, shared.value) for t in s], dtype="int32"), "int")
     apart = F.pmod(F.xxhash64(F.coalesce(F.col(host), F.lit(""))), F.lit(HELD_OUT_OF)) == 0
-    rows = documents.where(F.length(F.trim(text)) > 0).where(apart if held_out else ~apart).select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).withColumn("y", label("t"))
+    texts = documents.where(F.length(F.trim(text)) > 0).where(apart if held_out else ~apart).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    # Hashes and labels alone are made distinct, then the texts of the first hashes are fetched.
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("h"))
+    first = texts.select("h", label("t").alias("y")).where("y >= 0").distinct().withColumn("_rn", rank).where(F.col("_rn") <= per_label).select("h", "y")
+    found = texts.join(first, "h").select("y", "h", "t").distinct().collect()
     out = []
     for y in (0, 1):
-        out += [(r["t"], y) for r in rows.where(F.col("y") == y).orderBy("h", "t").limit(per_label).collect()]
+        mine = sorted((r["h"], r["t"]) for r in found if r["y"] == y and weak_label(r["t"], known) == y)
+        out += [(t, y) for _, t in mine[:per_label]]
     return out
 
 

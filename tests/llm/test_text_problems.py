@@ -300,6 +300,20 @@ def test_residue(spark):
     assert residue.residue(df).count() == 0
 
 
+def test_sample_holds_distinct_texts(spark):
+    """Copies of a text don't fill the sample; which texts are in it doesn't depend on them."""
+    bad = [f"Error 404: page not found. Try again later. {i}" for i in range(30)]
+    good = [f"Install the valve with two new wires number {i}." for i in range(30)]
+    known = set("install the valve with two new wires number".split())
+    sample = lambda texts, n: residue.labelled_sample(spark.createDataFrame([(t, None) for t in texts], "text string, source string"), known, per_label=n, held_out=held)
+    held = not residue.labelled_sample(spark.createDataFrame([(t, None) for t in good], "text string, source string"), known)
+    one = sample(bad + good, 10)
+    assert [y for _, y in one] == [0] * 10 + [1] * 10 and len(set(one)) == 20
+    hot = [t for t, _ in one]
+    assert sample(bad + good + hot[:1] * 50 + hot[10:11] * 50, 10) == one
+    assert sorted(sample(bad + good + hot * 9, 100)) == sorted([(t, 1) for t in bad] + [(t, 0) for t in good])
+
+
 def test_held_out_hosts(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = residue.validate(df).first()
