@@ -216,6 +216,17 @@ def test_compounds_beyond_the_common_words_keep_their_hyphen(spark, monkeypatch)
     assert [tuple(r) for r in bodies.select("record_key", "clean", "broken").orderBy("record_key").collect()] == [("s1", "Close the cross-feed valve and the self-sealing hose.", 0), *[("s2", "Close the valve now.", 1)] * 2]
 
 
+def test_paragraphs_over_many_pages(spark):
+    seg, b, p = _scan_tables(spark)
+    texts = [(1, 0, "First one."), (1, 1, "The gland nut"), (2, 0, "is held"), (3, 0, "by the"), (3, 1, "torsion"), (4, 0, "bar. "), (4, 1, "Last one"), (6, 0, "after a gap"), (7, 0, "goes on.")]
+    rows = [(d, n, i, 60.0, 100.0 + 90 * i, 300.0, 140.0 + 90 * i, x, 0) for d in ("d", "e") for n, i, x in texts]
+    blocks = spark.createDataFrame([r for r in rows if r[0] == "d" or r[1] > 1], b.schema)
+    pages = spark.createDataFrame([(d, n, 595.0, 842.0, True) for d in "de" for n in range(1, 8)], p.schema)
+    got = {tuple(r) for r in scan.paragraphs(seg.limit(0), blocks, pages).collect()}
+    both = {(d, *r) for d in "de" for r in ((4, 1, "Last one"), (6, 0, "after a gap goes on."))}
+    assert got == both | {("d", 1, 0, "First one."), ("d", 1, 1, "The gland nut is held by the torsion bar."), ("e", 2, 0, "is held by the torsion bar.")}
+
+
 # -- problem 7 -----------------------------------------------------------------------------------------------------------
 def test_lookalikes(spark):
     base = "Align the vent line at the mètre mark 5"
