@@ -60,6 +60,31 @@ def test_copies_of_cut_texts_are_found(spark):
     assert got == {"cut_word", "cut_mark", "cut_sentence"} | {f"hot{i}" for i in range(40)} | {f"var{i}" for i in range(40)}
 
 
+def test_cut_texts_come_from_the_prefix_join(spark, monkeypatch):
+    """Without the prefix join no text is known to be cut; without the terminal context those are that have longer copies alone."""
+    df = spark.createDataFrame([("t", k, None, s, t) for k, s, t in _pair_rows()], "table_name string, record_key string, grp string, src string, tgt string")
+    found = lambda: {r["record_key"] for r in pairs.defects(df).where("defect_type = 'truncated'").collect()}
+    with monkeypatch.context() as m:
+        m.setattr(pairs, "_with_share", lambda ties, counts: ties.limit(0).withColumn("p", F.lit(None).cast("double")))
+        assert found() == {"cut_word", "cut_mark", "cut_sentence"}
+    evidence = pairs._prefix_evidence
+    monkeypatch.setattr(pairs, "_prefix_evidence", lambda *a: evidence(*a).limit(0))
+    assert found() == set()
+
+
+def test_compression_alone_tells_copies(monkeypatch):
+    class Blind:
+        def __init__(self, **_):
+            pass
+
+        def compress(self, x):
+            return x
+
+    assert pairs.is_copy("oil", "OIL") and not pairs.is_copy("oil", "gas") and not pairs.is_copy("Hold the oil cup", "Hold the gas cup")
+    monkeypatch.setattr(pairs.zstandard, "ZstdCompressor", Blind)
+    assert pairs.is_copy("oil", "gas")
+
+
 @pytest.mark.parametrize(("s", "t", "want"), [("Vent line", "«Vent line»", True), ("Vent line", "Дренажная трубка", False), ("840", "840", False), ("SB 63-2682", "SB 63-2682", False), ("Hold the valve near the bolt.", "hold  the valve near the bolt", True)])
 def test_copies(s, t, want):
     assert pairs.is_copy(s, t) is want
