@@ -91,7 +91,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue(table(spark, d, "documents")).select("doc_id", "residue", "placeholder", F.round("score", 6).alias("score"))
+    return residue.residue(table(spark, d, "documents")).select("doc_id", "residue", F.round("score", 6).alias("score"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -324,6 +324,25 @@ def test_placeholders(text, want):
     assert residue.has_placeholder(text) is want
 
 
+def test_quoted_instructions_are_placeholders():
+    assert residue.has_placeholder("Осмотр «укажите date» муфты") and not residue.has_placeholder("Осмотр «укажите путь муфты") and not residue.has_placeholder("деталь «муфта»")
+
+
+def test_word_features_equal_plain_ones():
+    """Words are those of letters, two or more; equal words have equal numbers wherever they stand, four first letters too."""
+    import re
+
+    texts = ["Hold the valve 5x by hand", "", "VALVE\nhold İx ß😀 ab_cd", "x" * 70_000 + " valve", "ёж Ёж"]
+    w = residue.Words(texts)
+    plain = [(i, x) for i, t in enumerate(texts) for x in re.findall(r"[^\W\d_]{2,}", t.lower())]
+    assert [i for i, _ in plain] == w.doc.tolist() and [len(x) for _, x in plain] == w.size.tolist()
+    number = {}
+    for (_, x), h, k in zip(plain, w.h.tolist(), w.short.tolist()):
+        assert number.setdefault(x, h) == h and number.setdefault("^" + x[:4], k) == k
+    assert len({v for k, v in number.items() if k[0] != "^"}) == len({x for _, x in plain})
+    assert w.lines.tolist() == [1, 1, 2, 1, 1] and w.title.sum() == 1 and w.digits.tolist() == [1, 0, 0, 0, 0]
+
+
 def test_residue(spark):
     good = ["Install the valve with two new wires. Hold the bolt by hand only. Clean the hinge before each flight.", "Remove the panel after landing. The inspector shall stamp the card. Hold the valve by hand only."]
     bad = ["Error 404: page not found. Try again later.", "Please enable JavaScript in your browser to view this document.", "lorem ipsum dolor amet lorem tempor ipsum", "Replace this paragraph with your own content."]
