@@ -1,7 +1,7 @@
 """Problem 8: exact byte-pair encoding of whole texts with a public vocabulary.
 
 Each pre-token is encoded by backtracking: take the longest vocabulary entry at the current
-position (found on an automaton of all entries), keep it if it may follow the entry before it,
+position (found on the trie of an Aho-Corasick automaton of all entries; as the search starts anew at each place, no failure links are needed), keep it if it may follow the entry before it,
 else try its next shorter prefix, else step back. Whether two entries may stand side by side is
 decided from the merge order alone and remembered in a compatibility table, so the result equals
 that of applying the merges one by one, in linear time.
@@ -60,6 +60,7 @@ class Encoder:
                 self.right.append(y)
                 self.pair[x, y] = r
         self.size = [len(s) for s in text]
+        self.widest = max(self.size)
         self.out = [self.ids[s] for s in text]
         self.trie = ahocorasick.Automaton()
         for s, r in self.rank.items():
@@ -119,7 +120,7 @@ class Encoder:
                 pos += self.size[token]
                 if pos == n:
                     return [self.out[t] for t in done]
-                token = self._longest(s[pos : pos + 256])
+                token = self._longest(s[pos : pos + self.widest])
             else:
                 dead[pos] = 1
                 token = done.pop()

@@ -1,7 +1,7 @@
 """Problem 9: passages of held-out test items inside a training corpus.
 
 The normalised items form one generalised suffix automaton (of the reversed items), each state
-with the set of items its strings occur in. Texts stream through it: windows of the minimum run
+of long enough strings with the items they occur in. Texts stream through it: windows of the minimum run
 length are read from their end, and a mismatch lets the scan jump behind it, so most characters
 are never read. A text with one full window is then streamed whole, tracking the longest match
 at every position, which gives the leaked items and the spans to remove.
@@ -29,24 +29,29 @@ def normalise(text: str | None) -> str:
 
 
 class SuffixAutomaton:
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], run: int = 1):
         self.next: list[dict[str, int]] = [{}]
-        self.link, self.length, self.mask = [-1], [0], [0]
-        self.keys = [k for k, _ in items]
-        for bit, (_, text) in enumerate(items):
+        self.link, self.length = [-1], [0]
+        # Items of the states that hold strings of ``run`` characters; most have one item, and equal sets are one object.
+        self.items: dict[int, frozenset] = {}
+        one: dict[frozenset, frozenset] = {}
+        for key, text in items:
             last = 0
             for ch in reversed(text):
                 last = self._extend(last, ch)
-                self.mask[last] |= 1 << bit
-        for v in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            if self.link[v] > 0:
-                self.mask[self.link[v]] |= self.mask[v]
+                if self.length[last] >= run:
+                    both = self.items.get(last, frozenset()) | {key}
+                    self.items[last] = one.setdefault(both, both)
+        for v in sorted((v for v in range(1, len(self.length)) if self.length[v] >= run), key=self.length.__getitem__, reverse=True):
+            up = self.link[v]
+            if self.length[up] >= run and v in self.items:
+                both = self.items.get(up, frozenset()) | self.items[v]
+                self.items[up] = one.setdefault(both, both)
 
     def _state(self, length: int, link: int, nxt: dict[str, int]) -> int:
         self.next.append(nxt)
         self.length.append(length)
         self.link.append(link)
-        self.mask.append(0)
         return len(self.length) - 1
 
     def _split(self, p: int, ch: str) -> int:
@@ -104,11 +109,8 @@ class SuffixAutomaton:
                 s = v
                 while self.length[self.link[s]] >= run:
                     s = self.link[s]
-                bits = self.mask[s]
-                while bits:
-                    low = bits & -bits
-                    bits ^= low
-                    spans = found.setdefault(self.keys[low.bit_length() - 1], [])
+                for key in self.items[s]:
+                    spans = found.setdefault(key, [])
                     if spans and spans[-1][0] <= i + run:
                         spans[-1] = (i, spans[-1][1])
                     else:
@@ -119,6 +121,15 @@ class SuffixAutomaton:
 _AUTOMATA: dict[str, SuffixAutomaton] = {}
 
 
+def _automaton(name: str, block: list[tuple[int, str]], run: int) -> SuffixAutomaton:
+    """The automaton of a block; a worker keeps the last two."""
+    if name not in _AUTOMATA:
+        while len(_AUTOMATA) > 1:
+            del _AUTOMATA[next(iter(_AUTOMATA))]
+        _AUTOMATA[name] = SuffixAutomaton(block, run)
+    return _AUTOMATA[name]
+
+
 def _blocks(items: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
     for item in items:
@@ -131,6 +142,12 @@ def _blocks(items: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+def _known(items: DataFrame, item_key: str, text: str, min_run: int) -> Iterator[list[tuple[int, str]]]:
+    """The normalised items long enough to leak, in blocks."""
+    rows = items.where(F.length(text) >= min_run).select(item_key, text).distinct().toLocalIterator()
+    return _blocks(sorted(((r[0], t) for r in rows if len(t := normalise(r[1])) >= min_run), key=str))
+
+
 def leaked_passages(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """One row per document and item that share a run of at least ``min_run`` letters and digits, compared in lower case.
 
@@ -139,14 +156,12 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_key: str = "doc_
     stated query set: they are read to the driver in blocks, and every block is held against all texts.
     """
     spark = documents.sparkSession
-    rows = items.where(F.length(text) >= min_run).select(item_key, text).distinct().toLocalIterator()
-    known = [(r[0], t) for r in rows if len(t := normalise(r[1])) >= min_run]
     key_type = documents.schema[doc_key].dataType.simpleString()
     item_type = items.schema[item_key].dataType.simpleString()
     schema = f"`{doc_key}` {key_type}, `{item_key}` {item_type}, longest_run int, matched_chars int, doc_chars int, coverage double"
     source = documents.select(doc_key, text).where(F.length(text) >= min_run)
     out = None
-    for block in _blocks(sorted(known, key=str)):
+    for block in _known(items, item_key, text, min_run):
         shared = spark.sparkContext.broadcast(block)
         part = source.mapInPandas(_scan(shared, f"{uuid.uuid4()}", min_run, schema), schema)
         out = part if out is None else out.unionByName(part)
@@ -157,10 +172,7 @@ def _scan(shared, name: str, min_run: int, schema: str):
     columns = [c.strip("` ").split(" ")[0].strip("`") for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _AUTOMATA:
-            _AUTOMATA.clear()
-            _AUTOMATA[name] = SuffixAutomaton(shared.value)
-        automaton = _AUTOMATA[name]
+        automaton = _automaton(name, shared.value, min_run)
         for batch in batches:
             out = []
             for doc, raw in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
@@ -178,3 +190,47 @@ def clean_documents(documents: DataFrame, leaks: DataFrame, doc_key: str = "doc_
     """Documents without those that leak an item beyond the limits on run length and coverage."""
     bad = leaks.where((F.col("longest_run") >= max_run) & (F.col("coverage") > max_coverage)).select(doc_key).distinct()
     return documents.join(bad, doc_key, "left_anti")
+
+
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans, which are given in its letters and digits; a blank stands for each, and for what lies between two that touch."""
+    place = [i for i, ch in enumerate(text) for c in ch.lower() if c.isalnum()]
+    out, at, end = [], 0, -1
+    for a, b in sorted(spans):
+        if a <= end:
+            at, end = max(at, place[b - 1] + 1), max(end, b)
+            continue
+        out += [text[at : place[a]], " "]
+        at, end = place[b - 1] + 1, b
+    return "".join([*out, text[at:]])
+
+
+def cut_passages(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", min_run: int = MIN_RUN, max_coverage: float = 0.5) -> DataFrame:
+    """``doc_key, text, removed_chars``: all documents without the passages they share with an item, in runs of at least ``min_run`` letters and digits.
+
+    Documents of which the passages cover more than ``max_coverage`` are left out. Null and empty texts stay as they
+    are. The blocks of items follow each other in one pass over the documents.
+    """
+    schema = f"`{doc_key}` {documents.schema[doc_key].dataType.simpleString()}, `{text}` string, removed_chars int"
+    out = documents.select(doc_key, text, F.lit(0).alias("removed_chars"))
+    for block in _known(items, item_key, text, min_run):
+        shared, name = documents.sparkSession.sparkContext.broadcast(block), f"{uuid.uuid4()}"
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared, name=name) -> Iterator[pd.DataFrame]:
+            automaton = _automaton(name, shared.value, min_run)
+            for batch in batches:
+                keep = []
+                for doc, raw, removed in batch.itertuples(index=False):
+                    t = normalise(raw)
+                    if automaton.touches(t, min_run):
+                        spans = [s for found in automaton.matches(t, min_run).values() for s in found]
+                        clean = cut_spans(raw, spans)
+                        removed += len(t) - len(normalise(clean))
+                        if len(t) - len(normalise(clean)) > max_coverage * len(t):
+                            continue
+                        raw = clean
+                    keep.append((doc, raw, removed))
+                yield pd.DataFrame(keep, columns=batch.columns)
+
+        out = out.mapInPandas(run, schema)
+    return out

@@ -103,14 +103,15 @@ def _automaton(rules: tuple[tuple[str, str], ...]) -> ahocorasick.Automaton:
 def rewrite(text: str, rules: tuple[tuple[str, str], ...]) -> str:
     """The text in its one form: decomposed, members replaced left to right by the longest match, composed."""
     t = unicodedata.normalize("NFD", text)
-    for _ in range(3):  # a replacement may join with its neighbours to another member
+    seen = set()
+    while t not in seen:  # a replacement may join with its neighbours to another member
+        seen.add(t)
         parts, at = [], 0
         for end, (n, best) in _automaton(rules).iter_long(t):
             parts += [t[at : end + 1 - n], best]
             at = end + 1
-        if not parts:
-            break
-        t = unicodedata.normalize("NFD", "".join(parts) + t[at:])
+        if parts:
+            t = unicodedata.normalize("NFD", "".join(parts) + t[at:])
     return unicodedata.normalize("NFC", t)
 
 

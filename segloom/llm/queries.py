@@ -90,6 +90,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p9_cut(spark: SparkSession, d: str) -> DataFrame:
+    """All documents without the leaked passages; those that are mostly such are left out."""
+    return leak.cut_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents")).select("doc_id", "residue", F.round("score", 6).alias("score"))
 

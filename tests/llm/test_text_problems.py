@@ -318,6 +318,17 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert leak.leaked_passages(df, it.limit(0)).count() == 0 and leak.leaked_passages(df.limit(0), it).count() == 0
 
 
+def test_passages_are_cut(spark):
+    item = "Tighten the gland nut by hand, then hold the collar until the lamp goes out, and record the result in the form."
+    rest = "The crew reported vibration near the oil cooler. "
+    docs = [(1, rest * 6 + item[10:90].upper() + ". " + rest), (2, rest), (3, item), (4, None), (5, ""), (2, rest), (6, rest * 9 + item + " " + item)]
+    got = leak.cut_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, "short")], "item_id long, text string")).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 2, 4, 5, 6] and by[2]["text"] == rest and by[4]["text"] is None
+    assert leak.normalise(by[1]["text"]) == leak.normalise(rest * 7) and by[1]["removed_chars"] == len(leak.normalise(item[10:90]))
+    assert leak.normalise(by[6]["text"]) == leak.normalise(rest * 9)
+
+
 # -- problem 10 ----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(("text", "want"), [("Dear {{ name }}", True), ("Set {A, B} of shims, set {C} right", False), ("Sign: _______", False), ("at 50 % of 60 %", False), ("see [ref. 12]", False), ("[INSERT date] now", True), ("the <part_no> valve", True), ("a <b>bold</b> word", False), ("@REV@", True), ("mail a@b.com c@d.com", False), ("${qty}", True), ("No. #5 and #6", False)])
 def test_placeholders(text, want):
