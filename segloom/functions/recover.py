@@ -91,13 +91,20 @@ def repair_output(c: Column) -> Column:
     return F.when(c.rlike("(?is)OUTPUT:"), F.regexp_extract(c, r"(?is)^.*OUTPUT:\s*(.*)$", 1)).otherwise(c)
 
 
+#: What messages of time-outs, of exceeded outputs and of broken answers hold.
+TIMEOUT = ("timed out", "timeout", "time out", "deadline exceeded")
+OUTPUT_LIMIT = ("finish_reason=length", "finish_reason = length", "max token", "max_tokens", "max completion tokens", "max_completion_tokens", "context length", "token limit", "too many tokens", "output too long", "max_output_tokens")
+JSON_CONTRACT = ("json", "schema", "missing ids", "unexpected ids", "duplicate id")
+
+
+def holds(c: Column, words: tuple[str, ...]) -> Column:
+    """Whether a message holds one of the words, case ignored; false for null."""
+    m, out = F.lower(F.coalesce(c, F.lit(""))), F.lit(False)
+    for w in words:
+        out = out | m.contains(w)
+    return out
+
+
 def error_kind(c: Column) -> Column:
-    """``timeout``, ``output_limit``, ``json_contract`` or ``other`` of an error message; null for null."""
-    m = F.lower(c)
-    return (
-        F.when(c.isNull(), None)
-        .when(m.rlike("timed? ?out|timeout|deadline|504"), "timeout")
-        .when(m.rlike("max_output|output limit|length limit|truncat|incomplete"), "output_limit")
-        .when(m.rlike("json|expecting value|missing ids|duplicate id"), "json_contract")
-        .otherwise("other")
-    )
+    """``timeout``, ``output_limit``, ``json_contract`` or ``other`` of an error message, the first that holds; null for null."""
+    return F.when(c.isNull(), None).when(holds(c, TIMEOUT), "timeout").when(holds(c, OUTPUT_LIMIT), "output_limit").when(holds(c, JSON_CONTRACT), "json_contract").otherwise("other")

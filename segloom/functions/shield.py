@@ -50,20 +50,23 @@ def split_markers(text: str) -> list[tuple[str, bool]]:
 
 
 def mask(text: str, rules: tuple[Rule, ...]) -> tuple[str, dict[str, str]]:
-    """Each match outside markers becomes a marker numbered within its rule name; later rules see earlier markers."""
+    """Each match outside markers becomes a marker numbered within its rule name, from the text's start on; within a piece between markers later rules see what earlier ones made."""
     found: dict[str, str] = {}
     used: dict[str, int] = {}
-    for rule in rules:
-        pattern = _compiled(rule)
 
-        def put(m: re.Match, name: str = rule.name) -> str:
-            used[name] = used.get(name, 0) + 1
-            key = f"⟦{name}_{used[name]}⟧"
-            found[key] = m.group()
-            return key
+    def applied(piece: str) -> str:
+        for rule in rules:
 
-        text = "".join(p if marked else pattern.sub(put, p) for p, marked in split_markers(text))
-    return text, found
+            def put(m: re.Match, name: str = rule.name) -> str:
+                used[name] = used.get(name, 0) + 1
+                key = f"⟦{name}_{used[name]}⟧"
+                found[key] = m.group()
+                return key
+
+            piece = _compiled(rule).sub(put, piece)
+        return piece
+
+    return "".join(p if marked else applied(p) for p, marked in split_markers(text)), found
 
 
 _COMPILED: dict[Rule, re.Pattern] = {}

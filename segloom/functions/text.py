@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 #: White space as regular expressions write it in Java and RE2 alike.
 WS = r"[\t\n\x0B\f\r \x{85}\p{Z}]"
 LINE_WS = r"[\t\x0B\f\r \x{85}\p{Z}]"
+#: The forms of tokens, markers and numbers.
 FUZZY_TOKEN = r"[A-Za-zА-Яа-яЁё0-9]{2,}"
 MARKER = "⟦[^⟧]*⟧"
 STYLE_TOKEN = r"⟦/?S_[0-9]+(?:\|[^⟧|]+)*⟧"
 PLACEHOLDER_TOKEN = r"⟦[A-Z][A-Z0-9]*_[0-9]+⟧"
 #: Signed decimals with an optional tolerance, not part of a code in capitals.
-NUMBER = r"(?<![A-Z0-9])[-+]?\d+(?:[.,]\d+)?(?:\s*±\s*\d+(?:[.,]\d+)?)?(?![A-Z0-9])"
+NUMBER = r"(?<![A-Z0-9])[-+]?\d+(?:[.,]\d+)?(?:\s*±\s*[-+]?\d+(?:[.,]\d+)?)?(?![A-Z0-9])"
+#: Bodies that standard codes start with.
+STANDARDS = ("AMS", "ASTM", "MIL", "ISO", "SAE", "BS", "DIN", "EN", "QQ", "NAS")
 
 
 def col(c: Column | str) -> Column:
@@ -55,7 +58,7 @@ def compact(c: Column | str, limit: int) -> Column:
 
 
 def numbers(c: Column | str) -> Column:
-    """Numbers in order: markers stripped, decimal commas as points, no white space around a tolerance."""
+    """Numbers in order: markers stripped, decimal commas as points, white space around a tolerance as one blank."""
     found = F.regexp_extract_all(strip_markers(c), F.lit(NUMBER), F.lit(0))
     return F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, ",", "."), r"\s+", " "))
 
@@ -77,7 +80,7 @@ def needs_translation(c: Column | str) -> Column:
     t = col(c)
     latin, cyrillic = F.regexp_count(t, F.lit("[A-Za-z]")), F.regexp_count(t, F.lit("[А-Яа-яЁё]"))
     latin_words, cyrillic_words = F.regexp_count(t, F.lit("[A-Za-z]+")), F.regexp_count(t, F.lit("[А-Яа-яЁё]{2,}"))
-    done = (cyrillic >= 2 * latin) & (latin_words <= 14) | (cyrillic_words > F.greatest(F.lit(3), 2 * latin_words))
+    done = (cyrillic >= 2 * latin) & (latin_words <= 14) | (cyrillic_words >= F.greatest(F.lit(3), 2 * latin_words))
     return F.when(t.isNull() | (latin == 0), False).when(cyrillic == 0, True).when(done, False).otherwise(~((cyrillic >= 3 * latin) & (latin <= 12)))
 
 
@@ -91,9 +94,10 @@ def is_toc(c: Column | str) -> Column:
 
 
 def hard_glossary_gate(c: Column | str, toc: Column, in_table: Column) -> Column:
-    """Whether terms are locked: always in contents and tables and short texts, never in long ones, else in what is no sentence."""
+    """Whether terms are locked: always in contents and tables and short texts, never in blank and in long ones, else in what is no sentence."""
     words = F.regexp_count(col(c), F.lit("[A-Za-z]+"))
-    return F.when(toc | in_table, True).when(words <= 6, True).when(words >= 14, False).otherwise(~sentence_like(c))
+    z = lambda x: F.coalesce(x, F.lit(False))
+    return F.when(z(toc) | z(in_table), True).when(F.coalesce(strip(c), F.lit("")) == "", False).when(words <= 6, True).when(words >= 14, False).otherwise(~sentence_like(c))
 
 
 def severity(c: Column | str) -> Column:
@@ -117,8 +121,8 @@ def key_normal(c: Column | str) -> Column:
 
 
 def margin_normal(c: Column | str) -> Column:
-    """Lower case, digits as one mark, white space collapsed."""
-    return strip(F.regexp_replace(F.regexp_replace(F.lower(col(c)), r"[0-9]+", "#"), rf"{WS}+", " "))
+    """White space collapsed, lower case, without signs other than those of addresses and numbers."""
+    return F.regexp_replace(F.lower(strip(F.regexp_replace(col(c), rf"{WS}+", " "))), r"[^0-9A-Za-zА-Яа-яЁё:/()., -]+", "")
 
 
 def safe_stem(c: Column | str) -> Column:
@@ -135,3 +139,39 @@ def multiset_minus(a: Column, b: Column) -> Column:
     """Elements of a that b lacks, with multiplicity, sorted."""
     rest = F.transform(F.array_distinct(a), lambda x: F.array_repeat(x, F.greatest(F.lit(0), F.size(F.filter(a, lambda y: y == x)) - F.size(F.filter(b, lambda y: y == x)))))
     return F.array_sort(F.flatten(rest))
+
+
+def flat(c: Column | str) -> Column:
+    """White space of any kind as single blanks, ends stripped; an empty text for null."""
+    return strip(F.regexp_replace(F.coalesce(col(c), F.lit("")), rf"{WS}+", " "))
+
+
+def has_latin(c: Column | str) -> Column:
+    """Whether a text gets the context of its neighbours: it holds a Latin letter."""
+    return F.coalesce(col(c).rlike("[A-Za-z]"), F.lit(False))
+
+
+def target_text(tagged: Column | str, fallback: Column | str) -> Column:
+    """The tagged target, else the one of the context, else an empty text; blank ones don't count."""
+    real = lambda c: F.when(F.length(strip(c)) > 0, col(c))
+    return F.coalesce(real(tagged), real(fallback), F.lit(""))
+
+
+def is_standard_code(c: Column | str) -> Column:
+    """A term with a digit that starts with the name of a standards body."""
+    return F.coalesce(col(c).rlike(rf"(?i)^\s*(?:{'|'.join(STANDARDS)})\b") & col(c).rlike(r"\d"), F.lit(False))
+
+
+def structured_field(c: Column | str, name: str) -> Column:
+    """A text field of a JSON answer; null if the answer is none or the field is no text."""
+    v = F.try_parse_json(col(c))
+    return F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+
+
+def batch_reasons(c: Column | str, toc: Column, skip_breaks: bool = True, most_styles: int = 16, most_placeholders: int = 12) -> Column:
+    """Why a shielded text goes into no batch: contents, a line break, too many style openings (unless their limit is below 0), too many placeholders."""
+    t = F.coalesce(col(c), F.lit(""))
+    opened = F.regexp_count(t, F.lit(r"⟦S_[0-9]+(?:\|[^⟧]*)?⟧"))
+    why = [F.when(F.coalesce(toc, F.lit(False)), "toc_entry"), F.when(F.lit(skip_breaks) & t.rlike("⟦BRLINE_[0-9]+⟧"), "contains_brline")]
+    why += [F.when(F.lit(most_styles >= 0) & (opened > most_styles), "too_many_style_tokens"), F.when(F.size(placeholders(t)) > most_placeholders, "too_many_placeholders")]
+    return F.filter(F.array(*why), lambda x: x.isNotNull())

@@ -6,11 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that tell no sections apart.
-STOP = ("safran", "landing", "systems", "uk", "ltd", "код", "cage")
+STOP = (
+    "safran", "landing", "systems", "uk", "ltd", "код", "cage", "k0654", "руководство", "техническому", "обслуживанию", "компонентов", "стойка", "основного", "шасси", "mar", "2025", "18",
+)
+#: Parts that the keys of a token are dealt to.
+PARTS = 16
 
 
 def section_tokens(sections: DataFrame, key: str, text: str) -> DataFrame:
@@ -20,7 +24,13 @@ def section_tokens(sections: DataFrame, key: str, text: str) -> DataFrame:
     return e.groupBy("key", "token").agg(F.count("*").alias("tf"))
 
 
-def weighted(left: DataFrame, right: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+def counted_tokens(sections: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, token, tf``: tokens between signs that are neither letters nor digits, in lower case; single ones count only as digits."""
+    t = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: (F.length(x) > 1) | x.rlike(r"^\p{Nd}$"))
+    return sections.select(F.col(key).alias("key"), F.explode(t).alias("token")).groupBy("key", "token").agg(F.count("*").alias("tf"))
+
+
+def weighted(left: DataFrame, right: DataFrame, total: Column | int) -> tuple[DataFrame, DataFrame]:
     """Both token tables with ``w`` = tf * boost * idf of informative tokens: rare ones, or not too frequent ones of two signs."""
     df = left.select("token").unionByName(right.select("token")).groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1
@@ -31,68 +41,134 @@ def weighted(left: DataFrame, right: DataFrame, total: int) -> tuple[DataFrame,
     return tuple(x.join(w, "token").select("key", "token", (F.col("tf") * F.col("iw")).alias("w")) for x in (left, right))
 
 
-def cosine(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``a, b, cosine`` of all pairs that share a token; others are 0."""
-    norm = lambda x: x.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    a, b = left.select(F.col("key").alias("a"), "token", F.col("w").alias("wa")), right.select(F.col("key").alias("b"), "token", F.col("w").alias("wb"))
-    dot = a.join(b, "token").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    na, nb = norm(left).select(F.col("key").alias("a"), F.col("norm").alias("na")), norm(right).select(F.col("key").alias("b"), F.col("norm").alias("nb"))
-    return dot.join(na, "a").join(nb, "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The join on the token. The right side's keys are dealt to PARTS parts of each token, and the left side, the stated set of queries, goes to each, so a word that all texts hold is no task of its own."""
+    a = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return a.join(right.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int")), ["token", "part"])
+
+
+def cosine(left: DataFrame, right: DataFrame, least: float = 0.0) -> DataFrame:
+    """``a, b, cosine`` of all pairs that share a token and reach the least similarity; others are 0 or below it.
+
+    The left side is the stated set of queries, held against all of the right one: products are summed where a text's tokens
+    are, before the shuffle, so what is shuffled is at most one row for each query and text that share a token.
+    """
+    def unit(x: DataFrame, k: str, v: str) -> DataFrame:
+        one = x.groupBy("key").agg(F.collect_list(F.struct("token", "w")).alias("v"))
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
+        return one.withColumn("norm", norm).where("norm > 0").select(F.col("key").alias(k), "norm", F.explode("v").alias("e")).select(k, "e.token", (F.col("e.w") / F.col("norm")).alias(v))
+
+    dot = _meet(unit(left, "a", "x"), unit(right, "b", "y")).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
+    return dot.where(F.col("cosine") >= least - 1e-9) if least > 0 else dot
 
 
-def overlap_f1(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``a, b, f1``: harmonic mean of precision and recall of the shared token multiset."""
-    size = lambda x, k, n: x.groupBy("key").agg(F.sum("tf").alias(n)).withColumnRenamed("key", k)
-    a, b = left.select(F.col("key").alias("a"), "token", F.col("tf").alias("ta")), right.select(F.col("key").alias("b"), "token", F.col("tf").alias("tb"))
-    s = a.join(b, "token").groupBy("a", "b").agg(F.sum(F.least("ta", "tb")).alias("s"))
-    return s.join(size(left, "a", "na"), "a").join(size(right, "b", "nb"), "b").select("a", "b", (2.0 * F.col("s") / (F.col("na") + F.col("nb"))).alias("f1"))
+def overlap_f1(left: DataFrame, right: DataFrame, least: float = 0.0) -> DataFrame:
+    """``a, b, f1``: harmonic mean of precision and recall of the shared token multiset, of all pairs that share a token and reach the least value.
+
+    Of sizes n and m at most the smaller one is shared, so pairs of too different sizes are left out as they meet.
+    """
+    def sized(x: DataFrame, k: str, t: str, n: str) -> DataFrame:
+        one = x.groupBy("key").agg(F.collect_list(F.struct("token", "tf")).alias("v"), F.sum("tf").alias(n))
+        return one.select(F.col("key").alias(k), n, F.explode("v").alias("e")).select(k, "e.token", F.col("e.tf").alias(t), n)
+
+    a, b = sized(left, "a", "ta", "na"), sized(right, "b", "tb", "nb")
+    n = F.col("na") + F.col("nb")
+    near = _meet(a, b).where(2.0 * F.least("na", "nb") >= least * n - 1e-9)
+    s = near.groupBy("a", "b").agg(F.sum(F.least("ta", "tb")).alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    f1 = s.select("a", "b", (2.0 * F.col("s") / n).alias("f1"))
+    return f1.where(F.col("f1") >= least) if least > 0 else f1
 
 
 def monotone_map(sim: np.ndarray, drift: float = 0.0015, gap: float = 0.01) -> list[int]:
-    """For each row a strictly later column than the one before; the sum of similarities less drift and gaps is largest. Needs as many columns as rows."""
+    """For each row a strictly later column than the one before; the sum of similarities less drift and gaps is largest, of equal ones the earliest.
+
+    Columns count from 0; row i is expected near column ``(i + 1) * m / n - 1``. Needs as many columns as rows.
+    """
     n, m = sim.shape
     if n > m:
         raise ValueError("more rows than columns")
-    expected = [(i * (m - 1) / (n - 1)) if n > 1 else 0.0 for i in range(n)]
+    place = np.arange(m)
     best, back = np.full((n, m), -math.inf), np.zeros((n, m), dtype=int)
     for i in range(n):
-        gain = sim[i] - drift * np.abs(np.arange(m) - expected[i])
-        for j in range(i, m - (n - 1 - i)):
-            if i == 0:
-                best[i, j] = gain[j]
-                continue
-            prev = best[i - 1, :j] - gap * (j - np.arange(j) - 1)
-            k = int(prev.argmax())
-            best[i, j], back[i, j] = prev[k] + gain[j], k
+        gain = sim[i] - drift * np.abs(place + 1 - (i + 1) * m / n)
+        here = slice(i, m - (n - 1 - i))
+        if i == 0:
+            best[i, here] = gain[here]
+            continue
+        # The best column before, less the gap up to here: a running maximum of what does not depend on here.
+        lead = best[i - 1] + gap * place
+        at = np.maximum.accumulate(np.where(lead > np.concatenate([[-math.inf], np.maximum.accumulate(lead)[:-1]]), place, 0))
+        back[i, 1:] = at[:-1]
+        best[i, here] = (lead[back[i]] - gap * (place - 1) + gain)[here]
     out = [int(best[n - 1].argmax())]
     for i in range(n - 1, 0, -1):
         out.append(int(back[i, out[-1]]))
     return out[::-1]
 
 
-def greedy_map(base: list[dict[str, int]], overlay: list[dict[str, int]]) -> list[list[int]]:
-    """For each overlay page the run of base sections that overlaps it most, near the average length; later pages keep one each."""
+def grouped_map(base: list[dict[str, int]], overlay: list[dict[str, int]], weight: float = 0.002) -> list[list[int]]:
+    """For each overlay page its run of base sections: as many as make the overlap largest, less a little for being off the average length of those left.
+
+    Each later page keeps one section; pages for which none is left have no sections, and the last one takes all that remain.
+    """
     out, at = [], 0
     for i, page in enumerate(overlay):
-        left = len(overlay) - i - 1
-        most, average = len(base) - at - left, len(base) / max(1, len(overlay))
-        best, take = -math.inf, 1
-        total: dict[str, int] = {}
-        for n in range(1, max(1, most) + 1):
-            for k, v in (base[at + n - 1] if at + n - 1 < len(base) else {}).items():
-                total[k] = total.get(k, 0) + v
-            s = sum(min(v, page.get(k, 0)) for k, v in total.items())
-            size = sum(total.values()) + sum(page.values())
-            score = (2 * s / size if size else 0.0) - 0.002 * abs(n - average)
-            if score > best + 1e-12:
-                best, take = score, n
-        if left == 0:
-            take = max(1, len(base) - at)
-        out.append(list(range(at, min(len(base), at + take))))
+        later, left = len(overlay) - i - 1, len(base) - at
+        if left <= later or left <= 0:
+            out.append([])
+            continue
+        average = left / (later + 1)
+        if not later:
+            take = left
+        elif not page:
+            take = max(1, min(left - later, round(average)))
+        else:
+            sizes = np.arange(1, left - later + 1)
+            take = int(sizes[np.argmax(_running_f1(base[at : at + len(sizes)], page) - weight * np.abs(sizes - average))])
+        out.append(list(range(at, at + take)))
         at += take
+    if overlay and at < len(base):
+        out[-1] += range(at, len(base))
     return out
 
 
+greedy_map = grouped_map
+
+
+def _running_f1(sections: list[dict[str, int]], page: dict[str, int]) -> np.ndarray:
+    """The overlap of a page with the first section, the first two and so on."""
+    seen: dict[str, int] = {}
+    shared = total = 0
+    size, out = sum(page.values()), []
+    for s in sections:
+        for w, n in s.items():
+            k = seen.get(w, 0)
+            shared += min(page.get(w, 0), k + n) - min(page.get(w, 0), k)
+            seen[w] = k + n
+            total += n
+        out.append(2 * shared / (total + size) if shared else 0.0)
+    return np.array(out)
+
+
+def grouped(pairs: DataFrame) -> DataFrame:
+    """``pair, row, columns``: the sections of each overlay page. ``pairs`` has ``pair, side`` (``base`` or ``overlay``), ``no, tokens`` (a map of counts); one pair is one task's work."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = lambda x: [dict(t) for t in pdf[pdf["side"] == x].sort_values("no")["tokens"]]
+        got = grouped_map(side("base"), side("overlay"))
+        return pd.DataFrame({"pair": pdf["pair"].iloc[0], "row": range(len(got)), "columns": got})
+
+    return pairs.groupBy("pair").applyInPandas(run, "pair string, row int, columns array<int>")
+
+
+def page_mapping(mode: str):
+    """The mapping of a mode: ``greedy_group`` or ``dp_one_to_one``; an error for any other."""
+    modes = {"greedy_group": grouped_map, "dp_one_to_one": monotone_map}
+    if mode not in modes:
+        raise ValueError(f"unknown mode {mode!r}")
+    return modes[mode]
+
+
 def aligned(pairs: DataFrame, similarity: DataFrame) -> DataFrame:
     """``pair, row, column``: the monotone mapping of each pair of documents. ``pairs`` has ``pair, rows, columns``, ``similarity`` ``pair, row, column, s``; one pair is one task's work."""
 

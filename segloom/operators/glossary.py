@@ -4,82 +4,183 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-_ROW = re.compile(r"^\s*\|(.+)\|\s*$")
-_PAIR = re.compile(r"^(.*?\S)\s*(?:—|–|\s-\s|=>|->|\t)\s*(\S.*)$")
-_NUMBERING = re.compile(r"^\s*(?:\d+[.)]\s*|[-*•]\s+)")
+_PAIR = re.compile(r"^(.+?)\s+[—–-]\s+(.+)$")
+_RULE = re.compile(r":?-{3,}:?")
+#: Marks of breaks that may stand in the gaps of a term.
+BREAK = r"⟦BR(?:LINE|COL|PAGE)_[0-9]+⟧"
+
+
+def _source(term: str) -> str:
+    """A source term without its list number or bullet."""
+    return re.sub(r"^\d+[.)]?\s*", "", term).lstrip("•*- ").strip()
 
 
 def parse_pairs(text: str) -> list[tuple[str, str]]:
-    """Pairs of a glossary text: table rows or dashed lines, without header, rule, numbering, blanks and comments; longest source first, else as given."""
+    """Pairs of a glossary text: rows of a table or lines with a dash between blanks, without the header, rules, numbers, blanks and comments; longest source first, else as given."""
     out = []
-    for line in text.splitlines():
-        if not line.strip() or line.lstrip().startswith("#"):
+    for line in map(str.strip, text.splitlines()):
+        if not line or line.startswith("#"):
             continue
-        if m := _ROW.match(line):
-            cells = [c.strip() for c in m.group(1).split("|")]
-            if len(cells) < 2 or set("".join(cells)) <= set("-: ") or cells[0].lower() in ("en", "english", "source", "term"):
+        if line.startswith("|") and line.endswith("|"):
+            cells = [c.strip() for c in line.strip("|").split("|")]
+            pair = tuple(cells[:2]) if len(cells) > 1 else ("", "")
+            header = pair[0].lower() == "english" and pair[1].lower().startswith("рус")
+            if header or all(_RULE.fullmatch(c) for c in pair):
                 continue
-            pair = cells[0], cells[1]
-        elif m := _PAIR.match(_NUMBERING.sub("", line)):
-            pair = m.group(1).strip(), m.group(2).strip()
         else:
-            continue
-        if all(pair):
-            out.append(pair)
+            m = _PAIR.match(line)
+            pair = (m.group(1).strip(), m.group(2).strip()) if m else ("", "")
+        if all(pair) and _source(pair[0]):
+            out.append((_source(pair[0]), pair[1]))
     return sorted(out, key=lambda p: -len(p[0]))
 
 
-def term_key(c: Column | str) -> Column:
-    """Words of letters and digits in lower case with single blanks, blanks around: a term occurs in a text where its key occurs in the text's key."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(T.col(c)), "[^a-z0-9]+", " ")), F.lit(" "))
+def canonical(c: Column | str) -> Column:
+    """A text in which a term occurs letter by letter: lower case, gaps (white space and marks of breaks) as one blank, none around hyphens, a mark at both ends of each run of ASCII letters and digits."""
+    t = F.regexp_replace(F.lower(T.col(c)), rf"(?i)(?:{T.WS}|{BREAK})+", " ")
+    return F.regexp_replace(F.regexp_replace(t, " ?- ?", "-"), "([a-z0-9]+)", "\x01$1\x01")
 
 
 def distinct_terms(glossary: DataFrame) -> DataFrame:
-    """``term, target, rank``: one row per lower-cased, stripped source, the best rank; ties fall to the smaller target. Blank sides are left out."""
-    g = glossary.select(F.lower(T.strip("source")).alias("term"), T.strip("target").alias("target"), "rank").where((F.length("term") > 0) & (F.length("target") > 0))
-    w = Window.partitionBy("term").orderBy("rank", "target")
+    """``term, source, target, rank``: one row per lower-cased, stripped source, the first by ``rank``; ties fall to the smaller target.
+
+    Blank sides and standard codes are left out.
+    """
+    g = glossary.select(F.lower(T.strip("source")).alias("term"), T.strip("source").alias("source"), T.strip("target").alias("target"), "rank")
+    g = g.where((F.length("term") > 0) & (F.length("target") > 0) & ~T.is_standard_code("source"))
+    w = Window.partitionBy("term").orderBy("rank", "target", "source")
     return g.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
 def merge_priority(domain: DataFrame, user: DataFrame) -> DataFrame:
-    """``term, target, origin``: terms of several words, the user's before the domain's."""
-    both = domain.select("source", "target", F.lit("domain").alias("origin"), F.lit(1).alias("p")).unionByName(user.select("source", "target", F.lit("user").alias("origin"), F.lit(0).alias("p")))
-    both = both.select(F.lower(T.strip("source")).alias("term"), T.strip("target").alias("target"), "origin", "p").where(F.col("term").rlike(r"\S\s+\S") & (F.length("target") > 0))
-    w = Window.partitionBy("term").orderBy("p", "target")
+    """``term, target, origin``: terms of several words, the user's before the domain's. Of the user's the last by ``rank`` counts, of the domain's the first; rows without ranks tie, and ties fall to the smaller target."""
+    rank = lambda df: F.col("rank") if "rank" in df.columns else F.lit(0)
+    a = domain.select("source", "target", F.lit("domain").alias("origin"), F.lit(1).alias("p"), rank(domain).alias("r"))
+    b = user.where(~T.is_standard_code("source")).select("source", "target", F.lit("user").alias("origin"), F.lit(0).alias("p"), (-rank(user)).alias("r"))
+    both = a.unionByName(b).select(F.lower(T.strip("source")).alias("term"), T.strip("target").alias("target"), "origin", "p", "r").where(F.col("term").rlike(r"\S\s+\S") & (F.length("target") > 0))
+    w = Window.partitionBy("term").orderBy("p", "r", "target")
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("term", "target", "origin")
 
 
 def matches(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, target, rank`` of all terms in all texts.
+    """``key, term, source, target, rank`` of all terms in all texts.
+
+    A term with an ASCII letter or digit stands alone (no such sign touches it), any other one may be part of a word. Gaps may be any white
+    space or marks of breaks, hyphens may have gaps around them, case is ignored.
 
-    An inverted join: the words of a text meet the terms that start with them, then the whole term is looked up in
-    the text. Neither side is broadcast by this operator, and a term costs nothing in texts without its first word.
+    An inverted join: the words of a text meet the terms that start with them, and only keys, words and terms are shuffled; then
+    the few candidates are looked up in the text. Neither side is broadcast by this operator. Terms without an ASCII letter
+    or digit are keyed by their first three characters.
     """
-    t = texts.select(F.col(key).alias("key"), term_key(F.col(text)).alias("body")).where(F.length("body") > 2)
-    words = t.select("key", "body", F.explode(F.array_distinct(F.split(F.trim("body"), " "))).alias("word"))
-    g = terms.withColumn("needle", term_key(F.col("term"))).where(F.length("needle") > 2).withColumn("word", F.split(F.trim("needle"), " ")[0])
-    return words.join(g, "word").where(F.contains("body", "needle")).select("key", "term", "target", "rank").distinct()
+    t = texts.select(F.col(key).alias("key"), canonical(F.col(text)).alias("body")).where(F.length("body") > 0)
+    g = terms.select("term", "source", "target", "rank", canonical("term").alias("needle"))
+    ascii_ = F.col("needle").contains("\x01")
+    word = g.where(ascii_).withColumn("word", F.regexp_extract("needle", "\x01([a-z0-9]+)\x01", 1))
+    words = t.select("key", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
+    cand = words.join(word, "word").drop("word")
+    other = g.where(~ascii_)
+    if not other.isEmpty():
+        grams = t.select("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("body") - 2)), lambda i: F.substring("body", i, F.lit(3))))).alias("gram"))
+        cand = cand.unionByName(grams.join(other.withColumn("gram", F.substring("needle", 1, 3)), "gram").drop("gram"))
+    n = F.col("needle")
+    # A term that starts or ends with another sign must not touch a run either.
+    edge = lambda m, after: F.when(m.startswith("\x01") if not after else m.endswith("\x01"), "").otherwise(F.lit("(?<!\x01)" if not after else "(?!\x01)"))
+    quoted = F.concat(F.lit("\\Q"), n, F.lit("\\E"))
+    found = F.when(~ascii_ | n.startswith("\x01") & n.endswith("\x01"), F.contains("body", n)).otherwise(F.expr("false") | F.regexp_like(F.col("body"), F.concat(edge(n, False), quoted, edge(n, True))))
+    return cand.distinct().join(t, "key").where(found).select("key", "term", "source", "target", "rank").distinct()
+
+
+def longest_first() -> list[Column]:
+    return [F.length("term").desc(), F.col("rank"), F.col("term")]
 
 
 def top_matches(found: DataFrame, limit: int = 24) -> DataFrame:
-    w = Window.partitionBy("key").orderBy("rank", "term")
+    """The longest terms of each text, those of one length in the glossary's order."""
+    w = Window.partitionBy("key").orderBy(*longest_first())
     return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)
 
 
+def as_context(found: DataFrame, limit: int = 24) -> DataFrame:
+    """``key, terms``: the top matches of each text as a list of sources and targets."""
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("pos", "source", "target"))), lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target")))
+    return top_matches(found, limit).groupBy("key").agg(pairs.alias("terms"))
+
+
+def locked_terms(segments: DataFrame, found: DataFrame) -> DataFrame:
+    """The matches of segments whose terms are locked (see hard_glossary_gate); the others have none."""
+    gate = segments.where(T.hard_glossary_gate("source_plain", F.col("is_toc_entry"), F.col("in_table"))).select(F.col("segment_id").alias("key")).distinct()
+    return found.join(gate, "key", "left_semi")
+
+
+def pattern_of(term: str) -> str:
+    """The form of a term as a regular expression for Java and Python alike."""
+    gap = rf"(?:\s|{BREAK})"
+    body = re.escape(term.strip()).replace(r"\ ", f"{gap}+").replace(r"\-", f"{gap}*-{gap}*")
+    return rf"(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])" if re.search("[A-Za-z0-9]", term) else body
+
+
+def rewritten(text: Column | str, pairs: list[tuple[str, str]], rules: list[tuple[str, str]] = ()) -> Column:
+    """A text in which each term stands as its target, longest term first, and then each rule (an expression and what it becomes) is applied in the order given.
+
+    Both lists are configuration; what is in them is data, not part of this operator.
+    """
+    out = T.col(text)
+    for source, target in sorted(pairs, key=lambda p: -len(p[0])):
+        out = F.regexp_replace(out, f"(?iU){pattern_of(source)}", target.replace("\\", "\\\\").replace("$", "\\$"))
+    for pattern, result in rules:
+        out = F.regexp_replace(out, pattern, result)
+    return out
+
+
+def domain_pairs(pairs: list[tuple[str, str]], single_words: bool = False) -> list[tuple[str, str]]:
+    """Pairs of a fixed domain list, longest first; those of one word only if asked for."""
+    return sorted((p for p in pairs if single_words or re.search(r"\s", p[0])), key=lambda p: -len(p[0]))
+
+
+def table_labels(text: Column | str) -> Column:
+    """References to numbered tables in the target language, capital as they were; other phrases with the word stay."""
+    ahead = r"(?=\s+(?i:[0-9]+[A-Z]?|[IVXLC]+(?:-[IVXLC]+)?|[A-Z][0-9]+))"
+    return F.regexp_replace(F.regexp_replace(T.col(text), rf"\bT(?i:able)\b{ahead}", "Таблица"), rf"\bt(?i:able)\b{ahead}", "таблица")
+
+
+def final_cleanup(text: Column | str, rules: list[tuple[str, str]] = ()) -> Column:
+    """Zero-width blanks gone, the given rules applied in order, references to tables in the target language."""
+    out = F.regexp_replace(T.col(text), "\u200b", "")
+    for pattern, result in rules:
+        out = F.regexp_replace(out, pattern, result)
+    return table_labels(out)
+
+
+def contains_target(text: Column, target: Column) -> Column:
+    """Whether a text holds a target, case ignored, with any white space in its gaps and around its hyphens."""
+    form = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), rf"{T.WS}+", " "), " ?- ?", "-")
+    return F.contains(form(text), form(T.strip(target)))
+
+
 def term_variants(pairs: DataFrame, terms: DataFrame, key: str, source: str, target: str) -> DataFrame:
-    """``term, variant, key``: how each term of a source came out: its expected target where the target text holds it, the whole target where the source is the term."""
-    found = matches(pairs, terms.withColumnRenamed("target", "expected").withColumn("target", F.col("expected")), key, source)
-    full = found.join(pairs.select(F.col(key).alias("key"), F.col(source).alias("src"), T.strip_markers(target).alias("tgt")), "key").where(F.col("tgt").isNotNull())
-    whole = F.regexp_replace(T.strip("tgt"), r"^[ .,:;!?]+|[ .,:;!?]+$", "")
-    variant = F.when(F.contains(F.lower("tgt"), F.lower(F.col("target"))), F.col("target")).when(T.key_normal("src") == T.key_normal("term"), whole)
+    """``term, variant, key``: how each term of a source came out: its target where the target text holds it, the whole target where the source is the term."""
+    found = matches(pairs, terms, key, source)
+    full = found.join(pairs.select(F.col(key).alias("key"), T.flat(F.col(source)).alias("src"), T.flat(T.strip_markers(target)).alias("tgt")), "key").where("tgt != '' and src != ''")
+    whole = F.regexp_replace(F.col("tgt"), r"^[ .,:;!?]+|[ .,:;!?]+$", "")
+    variant = F.when(contains_target(F.col("tgt"), F.col("target")), F.col("target")).when(T.key_normal("src") == T.key_normal("term"), whole)
     return full.select("term", variant.alias("variant"), "key").where(F.length("variant") > 0)
 
 
+def consistency_report(variants: DataFrame, segments: DataFrame) -> DataFrame:
+    """``term, variant, n, first_segment, segments``: of each inconsistent term its variants with their segments in document order."""
+    bad = inconsistencies(variants).select("term")
+    at = segments.select(F.col("segment_id").alias("key"), "doc_id", "seq").dropDuplicates(["key"])
+    v = variants.join(bad, "term", "left_semi").join(at, "key")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "seq", "key"))), lambda x: x["key"])
+    return v.groupBy("term", "variant").agg(F.count("*").alias("n"), F.min_by("key", F.struct("doc_id", "seq", "key")).alias("first_segment"), listed.alias("segments"))
+
+
 def inconsistencies(variants: DataFrame) -> DataFrame:
     """``term, variants, total, majority, majority_count, minority_count``: terms with at least two different translations.
 
@@ -97,19 +198,45 @@ def inconsistencies(variants: DataFrame) -> DataFrame:
     return total.where("variants >= 2").withColumn("minority_count", F.when(F.col("majority").isNotNull(), F.col("total") - F.col("majority_count")))
 
 
+#: Segments of a document that are folded in one piece.
+BLOCK = 2_000
+
+
 def recent_terms(found: DataFrame, segments: DataFrame, limit: int = 12) -> DataFrame:
     """``segment_id, terms``: the terms seen before each segment in its document, the latest last, at most ``limit``.
 
-    A running state: for each occurrence only the last one of its term before a segment counts. Terms come from a
-    glossary, so a document has at most as many as that; the state at a segment is the map of last places.
+    A running state of last places. It is kept for blocks of a document: of each block the last place of each of its terms goes
+    to the blocks behind it as a running maximum (at most one row per term and block), and within a block each segment looks at its
+    own block's places and at those the block starts with. Nothing is formed of all segments and all terms.
     """
-    place = segments.select("segment_id", "doc_id", "seq").dropDuplicates(["segment_id"])
+    place = segments.select("segment_id", "doc_id", "seq").dropDuplicates(["segment_id"]).withColumn("b", F.floor(F.col("seq") / BLOCK))
     occ = found.select(F.col("key").alias("segment_id"), "term").distinct().join(place, "segment_id")
-    # Of each term the last occurrence before the segment: all terms of the document, by an as-of step on (document, term).
-    terms = occ.select("doc_id", "term").distinct()
-    grid = place.join(terms, "doc_id").join(occ.select("segment_id", "term", F.col("seq").alias("here")), ["segment_id", "term"], "left")
-    w = Window.partitionBy("doc_id", "term").orderBy("seq", "segment_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = grid.withColumn("last", F.last("here", True).over(w)).where(F.col("last").isNotNull())
-    r = Window.partitionBy("segment_id").orderBy(F.col("last").desc(), F.col("term").desc())
-    top = last.withColumn("_r", F.row_number().over(r)).where(F.col("_r") <= limit)
-    return top.groupBy("segment_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("last", "term"))), lambda x: x["term"]), "|").alias("terms"))
+    last = occ.groupBy("doc_id", "b", "term").agg(F.max("seq").alias("last"))
+    # What a block starts with: of each term its last place in any block before, which is its last block's.
+    blocks = place.select("doc_id", "b").distinct()
+    follow = Window.partitionBy("doc_id", "term").orderBy("b")
+    span = last.withColumn("until", F.lead("b").over(follow))
+    end = blocks.groupBy("doc_id").agg(F.max("b").alias("_end"))
+    reach = span.join(end, "doc_id").withColumn("to", F.coalesce("until", "_end")).where("to > b")
+    begin = reach.select("doc_id", F.explode(F.sequence(F.col("b") + 1, F.col("to"))).alias("b"), F.struct("last", "term").alias("x")).join(blocks, ["doc_id", "b"], "left_semi").groupBy("doc_id", "b").agg(F.array_sort(F.collect_list("x")).alias("before"))
+    # The order of recency needs no more than the latest ``limit`` of them.
+    begin = begin.withColumn("before", F.slice("before", F.greatest(F.lit(1), F.size("before") - limit + 1), F.lit(limit)))
+    own = place.join(occ.groupBy("segment_id").agg(F.array_sort(F.collect_list("term")).alias("here")), "segment_id", "left")
+    step = own.groupBy("doc_id", "b").agg(F.array_sort(F.collect_list(F.struct("seq", "segment_id", "here"))).alias("rows")).join(begin, ["doc_id", "b"], "left")
+
+    @F.pandas_udf("array<array<string>>")
+    def fold(rows: pd.Series, before: pd.Series) -> pd.Series:
+        out = []
+        for rs, old in zip(rows, before):
+            seen = {x["term"]: None for x in old} if old is not None else {}
+            got = []
+            for r in rs:
+                got.append(list(seen)[-limit:])
+                for term in r["here"] if r["here"] is not None else ():
+                    seen.pop(term, None)
+                    seen[term] = None
+            out.append(got)
+        return pd.Series(out)
+
+    flat = step.withColumn("terms", fold("rows", "before")).select(F.explode(F.arrays_zip("rows", "terms")).alias("z"))
+    return flat.select(F.col("z.rows.segment_id").alias("segment_id"), F.array_join("z.terms", "|").alias("terms")).where(F.length("terms") > 0)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,11 +12,21 @@ OVERHEAD = 128
 BLOCK = 2_000
 
 
-def neighbours(rows: DataFrame, group: str, order: list[str], text: str, limit: int = 100) -> DataFrame:
-    """The compacted text before and after each row; null at the ends and for null texts."""
+def neighbours(rows: DataFrame, group: str, order: list[str], text: str, limit: int = 0, in_table: str | None = None) -> DataFrame:
+    """The compacted text before and after each row with a Latin letter; null for other rows, at the ends and for blank texts.
+
+    Texts take at most ``limit`` characters, 220 without one, in tables at most 100.
+    """
     w = Window.partitionBy(group).orderBy(*order)
-    c = T.compact(text, limit)
-    return rows.withColumn("prev_text", F.lag(c).over(w)).withColumn("next_text", F.lead(c).over(w))
+    most, gate = limit if limit > 0 else 220, T.has_latin(text)
+    table = F.coalesce(F.col(in_table), F.lit(False)) if in_table else F.lit(False)
+
+    def snippet(near):
+        cut = F.when(table, T.compact(near, min(most, 100))).otherwise(T.compact(near, most))
+        return F.when(gate & (F.length(cut) > 0), cut)
+
+    r = rows.withColumn("_before", F.lag(text).over(w)).withColumn("_after", F.lead(text).over(w))
+    return r.withColumn("prev_text", snippet(F.col("_before"))).withColumn("next_text", snippet(F.col("_after"))).drop("_before", "_after")
 
 
 def recent(rows: DataFrame, group: str, order: list[str], value, size: int = 6) -> DataFrame:
@@ -69,31 +79,37 @@ def next_starts(costs: list[int], most: int, limit: int, first: int) -> list[int
     return [*out, i]
 
 
-def greedy_groups(rows: DataFrame, group: str, seq: str, text: str, most: int, limit: int) -> DataFrame:
-    """``group, seq, group_no``: a new group starts when the item count or the costs (length + OVERHEAD) would overflow; the first item always fits.
+def greedy_groups(rows: DataFrame, group: str, seq: str, text: str, most: int, limit: int, least: int = 0) -> DataFrame:
+    """As greedy_groups_by, with one ``most`` and one ``limit`` for all groups."""
+    return greedy_groups_by(rows.withColumn("most", F.lit(most)).withColumn("limit", F.lit(limit)), group, seq, text, least)
+
+
+def greedy_groups_by(rows: DataFrame, group: str, seq: str, text: str, least: int = 0) -> DataFrame:
+    """``group, seq, group_no``: a new group starts when the item count or the costs (length, at least ``least``, + OVERHEAD) would overflow; the first item always fits.
 
     The fold is sequential, but a group has at most ``most`` items, so within a block of BLOCK items there are at most
     ``most`` places where its first group can start. Each block is folded from all of these at once, with the first
     ``most`` items of the next block as look-ahead; the tables of the blocks are then composed in order. No task sees
     more of a group than one block, except for its few numbers a block. ``seq`` is a running number in the group.
     """
-    cost = F.coalesce(F.length(text), F.lit(0)) + OVERHEAD
-    place = rows.select(F.col(group).alias("g"), F.col(seq).alias("seq"), cost.alias("cost"))
+    cost = F.greatest(F.lit(least), F.coalesce(F.length(text), F.lit(0))) + OVERHEAD
+    # ``most`` items and a load of ``limit``, columns that are the same within a group.
+    place = rows.select(F.col(group).alias("g"), F.col(seq).alias("seq"), cost.alias("cost"), F.greatest(F.lit(1), F.col("most").cast("int")).alias("most"), F.col("limit").cast("int").alias("limit"))
     # Places without gaps: a count of each block of seq values, then the place within the block.
     place = place.withColumn("b0", F.floor(F.col("seq") / BLOCK))
     base = place.groupBy("g", "b0").agg(F.count("*").alias("n"))
     base = base.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("b0").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = F.row_number().over(Window.partitionBy("g", "b0").orderBy("seq")) - 1
-    place = place.withColumn("_i", inner).join(base.drop("n"), ["g", "b0"]).withColumn("i", F.col("base") + F.col("_i")).select("g", "seq", "cost", "i")
+    place = place.withColumn("_i", inner).join(base.drop("n"), ["g", "b0"]).withColumn("i", F.col("base") + F.col("_i")).select("g", "seq", "cost", "most", "limit", "i")
     own = place.withColumn("b", F.floor(F.col("i") / BLOCK))
-    ahead = own.where((F.col("i") % BLOCK < most) & (F.col("b") > 0)).withColumn("b", F.col("b") - 1)
+    ahead = own.where((F.col("i") % BLOCK < F.col("most")) & (F.col("b") > 0)).withColumn("b", F.col("b") - 1)
     item = F.struct("i", "cost")
-    blocks = own.groupBy("g", "b").agg(F.array_sort(F.collect_list(item)).alias("own")).join(ahead.groupBy("g", "b").agg(F.array_sort(F.collect_list(item)).alias("ahead")), ["g", "b"], "left")
+    blocks = own.groupBy("g", "b").agg(F.array_sort(F.collect_list(item)).alias("own"), F.max("most").alias("most"), F.max("limit").alias("limit")).join(ahead.groupBy("g", "b").agg(F.array_sort(F.collect_list(item)).alias("ahead")), ["g", "b"], "left")
 
     @F.pandas_udf("struct<exits: array<int>, counts: array<int>>")
-    def fold(own_: pd.Series, ahead_: pd.Series) -> pd.DataFrame:
+    def fold(own_: pd.Series, ahead_: pd.Series, most_: pd.Series, limit_: pd.Series) -> pd.DataFrame:
         out = []
-        for a, b in zip(own_, ahead_):
+        for a, b, most, limit in zip(own_, ahead_, most_, limit_):
             costs = [x["cost"] for x in a] + ([x["cost"] for x in b] if b is not None else [])
             n, exits, number = len(a), [], []
             for first in range(most):
@@ -104,22 +120,28 @@ def greedy_groups(rows: DataFrame, group: str, seq: str, text: str, most: int, l
             out.append((exits, number))
         return pd.DataFrame(out, columns=["exits", "counts"])
 
-    table = blocks.select("g", "b", fold("own", "ahead").alias("t")).select("g", "b", "t.exits", "t.counts")
-    # Compose: where the first group of each block starts, and how many groups there were before.
+    table = blocks.select("g", "b", fold("own", "ahead", "most", "limit").alias("t")).select("g", "b", "t.exits", "t.counts")
+    # Compose: where the first group of each block starts, and how many groups there were before. One row a document, of a few numbers a block.
     chain = table.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("b", "exits", "counts"))).alias("c"))
-    step = F.aggregate(
-        "c",
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"), F.array().cast("array<struct<b:bigint,at:int,no:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            F.get(x["exits"], acc["at"]).alias("at"), (acc["no"] + F.get(x["counts"], acc["at"])).alias("no"), F.concat(acc["out"], F.array(F.struct(x["b"].alias("b"), acc["at"].alias("at"), acc["no"].alias("no")))).alias("out")
-        ),
-    )
-    entry = chain.select("g", F.explode(step["out"]).alias("e")).select("g", "e.b", F.col("e.at").alias("at"), F.col("e.no").alias("no"))
+
+    @F.pandas_udf("array<struct<b: bigint, at: int, no: int>>")
+    def compose(c: pd.Series) -> pd.Series:
+        out = []
+        for blocks_ in c:
+            at = no = 0
+            got = []
+            for x in blocks_:
+                got.append({"b": x["b"], "at": at, "no": no})
+                at, no = int(x["exits"][at]), no + int(x["counts"][at])
+            out.append(got)
+        return pd.Series(out)
+
+    entry = chain.select("g", F.explode(compose("c")).alias("e")).select("g", "e.b", F.col("e.at").alias("at"), F.col("e.no").alias("no"))
 
     @F.pandas_udf("array<int>")
-    def number(own_: pd.Series, ahead_: pd.Series, at: pd.Series, no: pd.Series) -> pd.Series:
+    def number(own_: pd.Series, ahead_: pd.Series, at: pd.Series, no: pd.Series, most_: pd.Series, limit_: pd.Series) -> pd.Series:
         out = []
-        for a, b, first, before in zip(own_, ahead_, at, no):
+        for a, b, first, before, most, limit in zip(own_, ahead_, at, no, most_, limit_):
             costs = [x["cost"] for x in a] + ([x["cost"] for x in b] if b is not None else [])
             n, starts = len(a), set(next_starts(costs, most, limit, int(first)))
             got, k = [], int(before) - 1
@@ -129,54 +151,70 @@ def greedy_groups(rows: DataFrame, group: str, seq: str, text: str, most: int, l
             out.append(got)
         return pd.Series(out)
 
-    done = blocks.join(entry, ["g", "b"]).withColumn("no", number("own", "ahead", "at", "no"))
+    done = blocks.join(entry, ["g", "b"]).withColumn("no", number("own", "ahead", "at", "no", "most", "limit"))
     flat = done.select("g", F.explode(F.arrays_zip(F.transform("own", lambda x: x["i"]).alias("i"), F.col("no"))).alias("z")).select("g", F.col("z.i").alias("i"), F.col("z.no").alias("group_no"))
     return place.join(flat, ["g", "i"]).select(F.col("g").alias(group), F.col("seq").alias(seq), "group_no")
 
 
-def split_chunks(text: str, limit: int = 3800) -> list[str]:
-    """Chunks of whole lines up to the limit; a longer line is cut hard. Their concatenation is the text."""
-    out, current = [], ""
-    for line in text.splitlines(keepends=True):
-        while len(line) > limit:
-            if current:
-                out.append(current)
-                current = ""
-            out.append(line[:limit])
-            line = line[limit:]
-        if len(current) + len(line) > limit:
-            out.append(current)
-            current = ""
-        current += line
-    return [*out, current] if current else out
-
-
-def soft_wrap(text: str, width: int = 34) -> str:
-    """Words folded to lines of at most ``width``; texts of fewer than four words or with a line break stay."""
-    words = text.split()
-    if len(words) < 4 or "\n" in text:
-        return text
-    lines, current = [], ""
-    for w in words:
-        if current and len(current) + 1 + len(w) > width:
-            lines.append(current)
-            current = w
-        else:
-            current = f"{current} {w}" if current else w
-    return "\n".join([*lines, current])
-
-
-def distribute(text: str, lengths: list[int]) -> list[str]:
-    """The text cut in proportion to the lengths, ends rounded half to even; the last piece takes the rest."""
-    total = sum(max(0, n) for n in lengths)
-    if not lengths:
-        return []
-    if not total:
-        return [text, *[""] * (len(lengths) - 1)]
-    out, done, at = [], 0, 0
-    for n in lengths[:-1]:
-        done += max(0, n)
-        end = max(at, min(len(text), round(len(text) * done / total)))
-        out.append(text[at:end])
-        at = end
-    return [*out, text[at:]]
+def request_counts(rows: DataFrame, group: str, seq: str, text: str, most: int, limit: int) -> DataFrame:
+    """``group, requests``: how many groups greedy_groups forms, each item costing at least one character."""
+    return greedy_groups(rows, group, seq, text, max(1, most), max(1, limit), 1).groupBy(group).agg((F.max("group_no") + 1).alias("requests"))
+
+
+def within_line_budget(rows: DataFrame, group: str, order: list, source: str, target: str, budget: int, limit: int = 180) -> DataFrame:
+    """Rows of each group whose lines ``source => target`` of compacted texts fit the budget, up to the first that doesn't; a line costs its characters and one more.
+
+    Rows with a blank side don't count. A budget of 0 sets no bound. ``line`` is the line.
+    """
+    side = lambda c: T.compact(T.strip_markers(F.coalesce(c, F.lit(""))), limit)
+    r = rows.withColumn("_s", side(source)).withColumn("_t", side(target)).where("_s != '' and _t != ''").withColumn("line", F.concat("_s", F.lit(" => "), "_t")).drop("_s", "_t")
+    return within_budget(r, group, order, F.length("line") + 1, budget) if budget > 0 else r
+
+
+def _put(acc: Column, piece: Column, limit: int, joint: str) -> Column:
+    """The lists of finished texts and the open one with a piece that goes on it if it fits, or closes it."""
+    open_, all_ = acc["open"], acc["all"]
+    joined = F.concat(open_, F.lit(joint), piece)
+    fits = F.length(joined) <= limit
+    return F.when(open_ == "", F.struct(all_.alias("all"), piece.alias("open"))).when(fits, F.struct(all_.alias("all"), joined.alias("open"))).otherwise(F.struct(F.concat(all_, F.array(open_)).alias("all"), piece.alias("open")))
+
+
+def _folded(pieces: Column, limit: int, joint: str) -> Column:
+    empty = F.struct(F.array().cast("array<string>").alias("all"), F.lit("").alias("open"))
+    return F.aggregate(pieces, empty, lambda acc, x: _put(acc, x, limit, joint), lambda acc: F.when(acc["open"] == "", acc["all"]).otherwise(F.concat(acc["all"], F.array(acc["open"]))))
+
+
+def split_chunks(text: Column | str, limit: int = 3800) -> Column:
+    """Chunks of whole lines up to the limit; of a longer line each ``limit`` characters are a chunk, and its end goes on as a line does. Their concatenation is the text; none for empty and null texts."""
+    lines = F.regexp_extract_all(F.coalesce(T.col(text), F.lit("")), F.lit(r"[^\n]*\n|[^\n]+$"), F.lit(0))
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / limit).cast("int")), lambda i: F.substring(x, i * limit + 1, F.lit(limit)))
+    return _folded(F.flatten(F.transform(F.filter(lines, lambda x: x != ""), cut)), limit, "")
+
+
+def soft_wrap(text: Column | str, width: int = 34) -> Column:
+    """Words in lines of at most ``width`` characters, longer words in lines of their own; texts of fewer than four words or with a line break stay."""
+    t = T.col(text)
+    words = F.filter(F.split(t, rf"{T.WS}+"), lambda x: x != "")
+    return F.when((F.size(words) < 4) | t.contains("\n"), t).otherwise(F.array_join(_folded(words, width, " "), "\n"))
+
+
+def distribute(text: Column | str, lengths: Column) -> Column:
+    """The text cut in proportion to the lengths (those below 0 count 0), ends rounded half to even, the last piece taking the rest; one piece without lengths, and all in the first if none is above 0."""
+    t, n = T.col(text), F.size(lengths)
+    real = F.transform(lengths, lambda x: F.greatest(F.lit(0), x))
+    total = F.aggregate(real, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    ends = F.transform(real, lambda _, i: F.when(i + 1 == n, F.length(t)).otherwise(F.bround(F.length(t) * F.aggregate(F.slice(real, 1, i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x) / total).cast("int")))
+    cuts = F.transform(ends, lambda e, i: F.substring(t, F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)) + 1, e - F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))))
+    return F.when(n == 0, F.array(t)).when(total == 0, F.transform(lengths, lambda _, i: F.when(i == 0, t).otherwise(""))).otherwise(cuts)
+
+
+def toc_pieces(text: Column | str) -> Column:
+    """``text, core`` of a contents line, cut at dot leaders and tabs, which are pieces too; ``core`` is what is to be translated of it (with a Latin letter), white space around it stays in the piece."""
+    pieces = F.regexp_extract_all(T.col(text), F.lit(r"(?:\.\s*){3,}|\t+|(?:(?!(?:\.\s*){3,}|\t).)+"), F.lit(0))
+    delimiter = lambda x: x.rlike(r"^(?:(?:\.\s*){3,}|\t+)$")
+    return F.transform(pieces, lambda x: F.struct(x.alias("text"), F.when(~delimiter(x) & x.rlike("[A-Za-z]"), T.strip(x)).alias("core")))
+
+
+def first_rows(rows: DataFrame, group: str, seq: str, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each group by ``seq``; a limit of the feature, as asked for."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(seq))).where(F.col("_r") <= limit).drop("_r")

@@ -27,11 +27,12 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder the session names; use a temporary one only where none is set (tests)."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
+    """The shared folder the session names. Only a local session without one, as in tests, gets a temporary folder; a cluster must name its own."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="segloom-checkpoint-"))
 
 

@@ -51,10 +51,16 @@ def root_states(trace: DataFrame) -> DataFrame:
     return keyed.groupBy("root").applyInPandasWithState(step, "root string, complete boolean", "done string, split string", "update", "NoTimeout")
 
 
-def is_complete(chunk: str, done: set[str], split: set[str], depth: int = 16) -> bool:
-    if chunk in done:
-        return True
-    return depth > 0 and chunk in split and all(is_complete(f"{chunk}.{h}", done, split, depth - 1) for h in "ab")
+def is_complete(chunk: str, done: set[str], split: set[str]) -> bool:
+    """Whether a chunk ended, or all parts it was split into did; names grow with each split, so this ends."""
+    open_ = [chunk]
+    while open_:
+        c = open_.pop()
+        if c not in done:
+            if c not in split:
+                return False
+            open_ += [f"{c}.a", f"{c}.b"]
+    return True
 
 
 def liveness(beats: DataFrame, limit_ms: int = 6_000) -> DataFrame:
@@ -79,10 +85,13 @@ def snapshot_sink(path: str, every: int = 1):
     def write(batch: DataFrame, epoch: int) -> None:
         if epoch % every:
             return
-        rows = [r.asDict() for r in batch.limit(1000).collect()]
         target = Path(path)
         part = target.with_suffix(".part")
-        part.write_text(json.dumps({"epoch": epoch, "rows": rows}, default=str, ensure_ascii=False), encoding="utf-8")
+        with part.open("w", encoding="utf-8") as f:  # row by row, so that nothing is held that grows with the batch
+            f.write(json.dumps({"epoch": epoch})[:-1] + ', "rows": [')
+            for i, r in enumerate(batch.toLocalIterator()):
+                f.write((", " if i else "") + json.dumps(r.asDict(), default=str, ensure_ascii=False))
+            f.write("]}")
         part.replace(target)
 
     return write

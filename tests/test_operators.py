@@ -56,15 +56,30 @@ def test_hybrid_lookup(spark):
 
 
 def test_glossary(spark):
-    text = "| EN | RU |\n|---|---|\n| Downlocking Spring | Пружина фиксации |\n# note\n1) Bearing — Подшипник\n\nnothing here"
-    assert glossary.parse_pairs(text) == [("Downlocking Spring", "Пружина фиксации"), ("Bearing", "Подшипник")]
+    text = "| English | Русский |\n|---|---|\n| 2. Locking Lever | Рычаг замка |\n# note\n1) Bearing — Подшипник\na => b\n\nnothing here"
+    assert glossary.parse_pairs(text) == [("Locking Lever", "Рычаг замка"), ("Bearing", "Подшипник")]
     g = spark.createDataFrame([("Main fitting", "Основной фитинг", None, 1), (" MAIN FITTING ", "другой", None, 2), ("bolt", "болт", None, 3), (None, "x", None, 4), (" ", "y", None, 5)], "source string, target string, pattern string, rank int")
     terms = glossary.distinct_terms(g)
     assert {tuple(r) for r in terms.select("term", "target").collect()} == {("main fitting", "Основной фитинг"), ("bolt", "болт")}
-    t = spark.createDataFrame([("1", "The main-fitting and bolts"), ("2", "BOLT"), ("3", None)], "k string, t string")
+    t = spark.createDataFrame([("1", "The main \n⟦BRLINE_3⟧fitting and bolts, main-fitting"), ("2", "BOLT"), ("3", None), ("4", "Amain fitting, main, fitting; ubolt2")], "k string, t string")
     assert {(r["key"], r["term"]) for r in glossary.matches(t, terms, "k", "t").collect()} == {("1", "main fitting"), ("2", "bolt")}
 
 
+def test_glossary_matches_equal_their_patterns(spark):
+    import re
+
+    pairs = [("self-sealing coupling", "муфта"), ("bolt", "болт"), ("болт", "bolt"), ("(x) ring", "кольцо"), ("ISO 9 bolt", "код"), ("c++", "язык"), ("Bolt", "другой")]
+    texts = ["Self -\nsealing  COUPLING", "selfsealing coupling", "u-bolt", "bolts", "два болта", "the (x) ring", "a(x) ring", "c++!", "c++a", "abc++", "ISO 9 bolt", "", None, "x" * 30_000 + " bolt"]
+    g = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "source string, target string, rank int")
+    found = glossary.matches(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), glossary.distinct_terms(g), "k", "t")
+    terms = {"self-sealing coupling", "bolt", "болт", "(x) ring", "c++"}
+    want = {(i, t) for i, x in enumerate(texts) if x for t in terms if re.search(glossary.pattern_of(t), x, re.I)}
+    assert {(r["key"], r["term"]) for r in found.collect()} == want
+    assert [r["term"] for r in glossary.top_matches(found.withColumn("key", F.lit(1)).distinct(), 2).orderBy("pos").collect()] == ["self-sealing coupling", "(x) ring"]
+    out = spark.createDataFrame([("Fit the Self-  Sealing coupling, see table 4 and Table of Contents\u200b",)], "t string")
+    assert out.select(glossary.final_cleanup(glossary.rewritten("t", [("self-sealing coupling", "муфту $1")]))).first()[0] == "Fit the муфту $1, see таблица 4 and Table of Contents"
+
+
 def test_inconsistency_needs_a_strict_majority(spark):
     v = spark.createDataFrame([("a", "X", "1"), ("a", "x!", "2"), ("a", "y", "3"), ("b", "p", "1"), ("b", "q", "2"), ("c", "same", "1")], "term string, variant string, key string")
     got = {r["term"]: (r["majority"], r["majority_count"], r["minority_count"]) for r in glossary.inconsistencies(v).collect()}
@@ -109,10 +124,24 @@ def test_greedy_groups_equal_the_fold(spark, monkeypatch):
 
 
 def test_ordered_helpers(spark):
-    assert "".join(ordered.split_chunks("a" * 9000 + "\nb\n" + "c" * 3900)) == "a" * 9000 + "\nb\n" + "c" * 3900
-    assert ordered.split_chunks("") == [] and max(map(len, ordered.split_chunks("ab\n" * 5000))) <= 3800
-    assert ordered.soft_wrap("one two three four five six seven eight nine") == "one two three four five six seven\neight nine"
-    assert ordered.distribute("abcdefghij", [1, 1, 2]) == ["ab", "cde", "fghij"] and ordered.distribute("ab", [0, 0]) == ["ab", ""]
+    one = lambda c: spark.range(1).select(c).first()[0]
+    chunks = lambda t, n=3800: list(one(ordered.split_chunks(F.lit(t), n)))
+    long = "a" * 9000 + "\nb\n" + "c" * 3900
+    assert "".join(chunks(long)) == long and [len(x) for x in chunks(long)] == [3800, 3800, 1403, 3800, 100] and chunks("") == []
+    assert max(map(len, chunks("ab\n" * 5000))) <= 3800 and chunks("aa\nbb\nc", 6) == ["aa\nbb\n", "c"]
+    assert one(ordered.soft_wrap(F.lit("one two three four five six seven eight nine"))) == "one two three four five six seven\neight nine"
+    assert one(ordered.soft_wrap(F.lit("a b c"))) == "a b c" and one(ordered.soft_wrap(F.lit("a b\nc d"))) == "a b\nc d" and one(ordered.soft_wrap(F.lit(f"a b {'x' * 40} c"))) == f"a b\n{'x' * 40}\nc"
+    parts = lambda t, n: list(one(ordered.distribute(F.lit(t), F.array(*map(F.lit, n)) if n else F.array().cast("array<int>"))))
+    assert parts("abcdefghij", [1, 1, 2]) == ["ab", "cde", "fghij"] and parts("ab", [0, 0]) == ["ab", ""] and parts("ab", []) == ["ab"] and parts("abcde", [1, -2, 1]) == ["ab", "", "cde"]
+    rng = random.Random(1)
+    for _ in range(8):
+        n = [rng.randint(0, 5) for _ in range(rng.randint(1, 6))]
+        t = "".join(rng.choice("abc") for _ in range(rng.randint(0, 20)))
+        if sum(n):
+            ends = [round(len(t) * sum(n[: i + 1]) / sum(n)) for i in range(len(n) - 1)] + [len(t)]
+            assert parts(t, n) == [t[a:b] for a, b in zip([0, *ends], ends)]
+    pieces = one(ordered.toc_pieces(F.lit("Fit bolt . . . . 12\tRow ")))
+    assert [tuple(x) for x in pieces] == [("Fit bolt ", "Fit bolt"), (". . . . ", None), ("12", None), ("\t", None), ("Row ", "Row")]
     df = spark.createDataFrame([("g", i, c) for i, c in enumerate([100, 300, 200, 50])], "g string, i int, c int")
     assert [r["i"] for r in ordered.within_budget(df, "g", ["i"], "c", 450).collect()] == [0, 1]
     rows = spark.createDataFrame([("d", i, p) for i, p in enumerate([1, 1, 2, 3, None, 5, 6, 6, 7, 8])], "d string, seq int, page int")
@@ -130,7 +159,16 @@ def test_layout(spark):
     cols = spark.createDataFrame([("d", 1, 0, 50.0, 270.0), ("d", 1, 1, 330.0, 550.0)], "doc_id string, page_number int, column_no int, x0 double, x1 double")
     assert sorted(r["column_no"] for r in layout.nearest_column(two, cols).collect()) == [0, 0, 1, 1]
     region = spark.createDataFrame([("d", 1, 7, 50.0, 90.0, 560.0, 230.0), ("d", 1, 8, 0.0, 0.0, 600.0, 800.0)], "doc_id string, page_number int, drawing_id int, x0 double, y0 double, x1 double, y1 double")
-    assert [r["drawing_id"] for r in layout.table_regions(two, region, pages).collect()] == [7]
+    assert [tuple(r) for r in layout.table_regions(two, region, pages).collect()] == [("d", 1, 0, 50.0, 90.0, 560.0, 230.0)]
+    boxes = F.array(*(F.struct(*(F.lit(float(v)).alias(c) for v, c in zip(x, ("x0", "y0", "x1", "y1")))) for x in ((0, 0, 100, 100), (50, 50, 150, 150), (300, 300, 310, 310))))
+    assert [tuple(x) for x in spark.range(1).select(layout.merged_regions(boxes)).first()[0]] == [(0.0, 0.0, 150.0, 150.0), (300.0, 300.0, 310.0, 310.0)]
+    typed = layout.classified(two, pages, tables=layout.table_regions(two, region, pages)).collect()
+    assert {(r["block_id"], r["block_type"], r["region_id"]) for r in typed} == {(i, "table_cell", 0) for i in range(4)}
+    assert sorted(r["column_index"] for r in layout.with_columns(two, pages).collect()) == [0, 0, 1, 1]
+    file = lambda b, bold, it: spark.range(1).select(layout.font_file(F.lit(b), F.lit(bold), F.lit(it))).first()[0]
+    assert [file("A-Regular.ttf", True, True), file("A", False, True), file("A-Regular.ttf", False, None)] == ["A-BoldItalic.ttf", "A-Italic", "A-Regular.ttf"]
+    st = spark.createDataFrame([("Arial-Black", 2, 0x0102FF, 0.0, 1.0), (None, None, -1, 0.0, 0.0)], "f string, g int, c int, x double, y double").select(layout.span_style(*map(F.col, "fgcxy"))).collect()
+    assert [tuple(r[0]) for r in st] == [(True, True, 1, 2, 255, 90.0), (False, False, None, None, None, 0.0)]
     assert layout.overlapping(two).count() == 0
     got = spark.createDataFrame([([1.0, 5.0, 30.0, 9.0],)], "v array<double>").select(layout.cluster_count(F.col("v"), 6.0)).first()[0]
     assert got == 2
@@ -141,7 +179,15 @@ def test_monotone_and_greedy_maps():
     assert alignment.monotone_map(sim) == [0, 2, 3]
     with pytest.raises(ValueError):
         alignment.monotone_map(sim.T)
+    rng = random.Random(6)
+    import itertools
+
+    for n, m in ((1, 4), (2, 5), (3, 6), (4, 4)):
+        sim = np.array([[rng.random() for _ in range(m)] for _ in range(n)])
+        cost = lambda c: sum(sim[i, j] - 0.0015 * abs(j + 1 - (i + 1) * m / n) for i, j in enumerate(c)) - 0.01 * sum(b - a - 1 for a, b in zip(c, c[1:]))  # noqa: E731, B023
+        assert abs(cost(alignment.monotone_map(sim)) - max(map(cost, itertools.combinations(range(m), n)))) < 1e-12
     bag = lambda t: {w: t.split().count(w) for w in t.split()}
+    assert alignment.grouped_map([bag("a")], [bag("a"), bag("b")]) == [[], [0]] and alignment.grouped_map([], [{}]) == [[]] and alignment.grouped_map([{}] * 3, [{}, {}]) == [[0, 1], [2]]
     base, over = ["alpha one", "alpha two", "bravo one", "charlie", "delta"], ["alpha one alpha two", "bravo one", "charlie delta"]
     assert alignment.greedy_map([bag(x) for x in base], [bag(x) for x in over]) == [[0, 1], [2], [3, 4]]
 
@@ -166,11 +212,114 @@ def test_review(spark):
     assert (r["requests_total"], r["requests_succeeded"], r["suggestions_total"], r["summary_present"]) == (5, 3, 3, False)
     assert sorted(x["chunk_id"] for x in review.completed_roots(t).collect()) == ["segments_1_2", "segments_3_4"]
     e = spark.createDataFrame([("a", "a", "No change needed.", 0.9), ("⟦S_1⟧x⟦/S_1⟧", "x", "fix", 0.9), ("a", "b", "fix", 0.9), ("a", "", "", None)], "c string, s string, i string, p double")
-    got = [list(r[0]) for r in e.select(review.reasons(F.col("c"), F.col("s"), F.col("i"), F.col("p"))).collect()]
+    got = [list(r[0]) for r in e.select(review.reasons(F.col("c"), F.col("s"), F.col("i"), F.col("p"), 0.7)).collect()]
     assert got == [["no_op", "nochange_instruction"], ["style_tags_mismatch"], [], ["missing_suggested_target", "missing_instruction", "low_confidence"]]
     seg = spark.createDataFrame([("s", "l", 1, "a")], "segment_id string, location string, seq int, target_tagged string")
     ed = spark.createDataFrame([("s", None, 1, "a", "b", "x", 0.9), ("s", None, 2, "a", "c", "x", 0.9), (None, "l", 3, "b", "d", "x", 0.9)], "segment_id string, location string, edit_no int, current_target string, suggested_target string, instruction string, confidence double")
-    assert tuple(review.apply_edits(seg, ed).first()) == ("s", "d", 2, 1)
+    steps = review.apply_edits(seg, ed.unionByName(ed.limit(1).withColumn("segment_id", F.lit("zz")).withColumn("edit_no", F.lit(9))))
+    assert sorted((r["edit_no"], r["applied"], *r["reasons"]) for r in steps.collect()) == [(1, True), (2, False, "current_target_mismatch"), (3, True), (9, False, "segment_not_found")]
+    assert tuple(review.applied_targets(steps).first()) == ("s", "d", 2, 1)
+    assert {tuple(r) for r in review.skipped_reasons(steps).collect()} == {("current_target_mismatch", 1), ("segment_not_found", 1)}
+    loose = ed.limit(1).withColumn("current_target", F.lit(" ")).withColumn("instruction", F.lit("без изменений"))
+    assert review.apply_edits(seg, loose).first()["reasons"] == ["nochange_instruction"]
+
+
+def test_replay_of_summaries(spark):
+    """A summary's counters take the place of what came before, key by key; later events add to them."""
+    rows = [(1, "request", None, None, None), (2, "split", None, None, None), (3, "summary", None, 50, None), (4, "request", None, None, None), (5, "summary", None, None, 7), (6, "response", 3, None, None), (7, "response", -2, None, None)]
+    t = spark.createDataFrame(rows, "line_no long, event string, edits_count int, requests_total int, chunks_total int").withColumn("chunk_id", F.lit("c"))
+    r = review.replay(t).first()
+    assert (r["requests_total"], r["split_events"], r["chunks_total"], r["suggestions_total"], r["requests_succeeded"], r["summary_present"]) == (51, 1, 7, 3, 2, True)
+    assert review.replay(t.limit(0)).first()["summary_present"] is False
+    deep = [("c", "request"), ("c", "split"), ("c.a", "split"), ("c.b", "response"), ("c.a.a", "split"), ("c.a.b", "failed_chunk"), ("c.a.a.a", "response"), ("c.a.a.b", "response"), ("d", "request"), ("d", "split"), ("d.a", "response")]
+    assert [x["chunk_id"] for x in review.completed_roots(spark.createDataFrame(deep, "chunk_id string, event string")).collect()] == ["c"]
+
+
+def test_answers_become_edits(spark):
+    edit = '{"segment_id": "%s", "suggested_target": "x", "instruction": "i", "issue_type": " Style ", "confidence": 7}'
+    a = spark.createDataFrame([("c1", '{"edits": [%s, %s, {"segment_id": "s1"}, 5]}' % (edit % "s1", edit % "zz")), ("c2", "{}"), ("c3", None)], "chunk_id string, payload string")
+    got = review.parse_edits(a, spark.createDataFrame([("c1", "s1"), ("c2", "s1")], "chunk_id string, segment_id string")).collect()
+    assert [(r["chunk_id"], r["edit_no"], r["segment_id"], r["issue_type"], r["severity"], r["confidence"]) for r in got] == [("c1", 1, "s1", "style", "warn", 1.0)]
+    terms = spark.createDataFrame([("c", 2, "Bolt", "болт"), ("c", 1, "bolt ", "Болт"), ("c", 3, "", "x"), ("c", 4, "nut", "гайка")], "chunk_id string, pos int, source string, target string")
+    assert [tuple(x) for x in review.used_terms(terms).first()["terms"]] == [("bolt", "Болт"), ("nut", "гайка")]
+
+
+def test_lemmas_and_term_issues(spark):
+    found = spark.createDataFrame([("1", "bolt", "новый болт"), ("2", "bolt", "новый болт"), ("3", "bolt", "новый болт")], "key string, term string, target string")
+    t = spark.createDataFrame([("1", "Новый болт."), ("2", "два новых болта"), ("3", None)], "k string, t string")
+    missing = lambda **k: sorted(r["key"] for r in validate.missing_terms(found, t, "k", "t", **k).collect())
+    lemma = {"новых": "новый", "болта": "болт"}.get
+    assert missing() == ["2", "3"] and missing(lemma=lambda w: lemma(w, w)) == ["3"] and missing(mode="off") == [] and missing(mode="?") == []
+    m = validate.missing_terms(found, t, "k", "t")
+    assert {(r["key"], r["details"]) for r in validate.term_issues(m).collect()} == {("2", "bolt=>новый болт"), ("3", "bolt=>новый болт")}
+    assert {(r["key"], r["accept"]) for r in validate.fewer_missing(m, m.where("key = '3'")).collect()} == {("2", True), ("3", False)}
+
+
+def test_services():
+    class Odd:
+        def __init__(self, answers):
+            self.answers = list(answers)
+
+        def translate(self, texts):
+            return [self.answers.pop(0) if self.answers else t.upper() for t in texts]
+
+    valid = lambda x: "⟦A⟧" in x
+    assert translate.attempts("x⟦A⟧", Odd(["y⟦A⟧"]), valid) == ("y⟦A⟧", "ok")
+    assert translate.attempts("x⟦A⟧", Odd(["no", "no", "z⟦A⟧"]), valid, repair=lambda s, t: s) == ("z⟦A⟧", "repaired")
+    assert translate.attempts("x⟦A⟧ y ", Odd(["no", "no"]), valid) == ("X⟦A⟧ Y ", "spans")
+    assert translate.attempts("a", Odd(["aa", "a"]), lambda x: True, missing=len) == ("a", "ok") and translate.attempts("a", Odd(["a", "aa"]), lambda x: True, missing=len) == ("a", "ok")
+    assert translate.by_spans("⟦S_1|B⟧ab⟦/S_1⟧ c", Odd([])) == "⟦S_1|B⟧AB⟦/S_1⟧ C"
+    with pytest.raises(ValueError):
+        translate.service_of("none")
+
+
+def test_review_splits(spark):
+    def factory():
+        def ask(texts):
+            if len(texts) > 1:
+                raise TimeoutError("timed out")
+            if texts[0] == "bad":
+                raise ValueError("boom")
+            return "{}"
+
+        return ask
+
+    c = spark.createDataFrame([("k1", ["a", "b", "bad"]), ("k2", ["a"] * 5)], "chunk_id string, segments array<string>")
+    got = [(r["chunk_id"], r["event"]) for r in translate.review(c, factory, most_segments=4).collect()]
+    assert got == [("k1", "request"), ("k1", "error"), ("k1", "split"), ("k1.a", "request"), ("k1.a", "error"), ("k1.a", "split"), ("k1.a.a", "request"), ("k1.a.a", "response"), ("k1.a.b", "request"), ("k1.a.b", "response"),
+                   ("k1.b", "request"), ("k1.b", "error"), ("k1.b", "request"), ("k1.b", "error"), ("k1.b", "failed_chunk")]
+
+
+def test_structure(spark):
+    from segloom.operators import prompts, structure
+
+    cols = "doc string, seq int, location string, text string"
+    a = spark.createDataFrame([("d", 0, "body/p0", "x"), ("d", 1, "body/p1", "y"), ("d", 2, "body/t0/r0/c0/p0", "z"), ("d", 3, "body/p9", "q")], cols)
+    b = spark.createDataFrame([("d", 0, "body/p0", "x"), ("d", 1, "body/p1", "Y⟦A⟧"), ("d", 2, "body/t1/r0/c0/p0", "z"), ("d", 3, "body/p9", "r")], cols)
+    assert [tuple(r) for r in structure.mismatches(a, b).orderBy("seq").collect()] == [("d", 1, "body/p1", "y", "Y⟦A⟧"), ("d", 2, "body/t0/r0/c0/p0 != body/t1/r0/c0/p0", "", "")]
+    assert tuple(structure.basic_stats(a).first()) == ("d", 3, 1, 4) and structure.marker_leaks(b).first()["leaks"] == 1
+    x = spark.createDataFrame([("d", '<w:br/><w:br w:type="column"/>'), ("d", None)], "doc string, xml string")
+    got = structure.pattern_diff(x, x.limit(0)).first()
+    assert (got["br_any"], got["br_column"], got["drawing"]) == (-2, -1, 0)
+    runs = spark.createDataFrame([("p", 0, "a", "B"), ("p", 1, "", "I"), ("p", 2, "b", "B"), ("p", 3, "c", None), ("p", 4, "d", None)], "paragraph string, pos int, text string, style string")
+    assert [tuple(r)[1:4] for r in structure.merged_spans(runs).orderBy("span_id").collect()] == [(1, "ab", "B"), (2, "cd", None)]
+    m = lambda d: F.create_map(*(F.lit(v) for kv in d.items() for v in kv))
+    assert spark.range(1).select(prompts.merged_maps(m({"a": "1", "b": "2"}), m({"b": "3"}))).first()[0] == {"a": "1", "b": "3"}
+    assert prompts.system_prompt("base", " custom ", "") == "base\n\ncustom"
+
+
+def test_prompts(spark):
+    from segloom.operators import prompts
+
+    cols = "part string, section_header string, in_table boolean, in_textbox boolean, is_toc_entry boolean, max_target_chars int, prev_text string, next_text string"
+    df = spark.createDataFrame([("header", "Head", False, None, None, 40, " before ", None), (None, None, True, None, True, None, "x", "y")], cols)
+    pair = lambda *p: F.array(*(F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a, b in p))
+    none = F.lit(None).cast("array<struct<source: string, target: string>>")
+    got = [r[0] for r in df.select(prompts.user_prompt(F.lit("T"), pair(("a", "b"), ("", "c")), none, pair(("x" * 60, "y"), ("z", "z")), none, 70)).collect()]
+    assert "Context: SECTION: Head | DOC_SECTION=header | SPACE_LIMIT: ~40 chars max, keep translation concise | PREV: before\n\nMATCHED_GLOSSARY (EN -> RU):\n- a => b\n\nTM_REFERENCES:\n- " + "x" * 60 + " => y\n\nTranslate" in got[0]
+    assert "Context: TABLE_CELL | TOC_ENTRY\n\n" in got[1] and got[1].endswith("text below:\nT")
+    items = spark.createDataFrame([("g", 2, "2", "t2", "c"), ("g", 1, "1", "t1", "c")], "g string, pos int, id string, text string, context string").withColumn("terms", none).withColumn("hints", pair(("a", "b"), ("c", "d"))).withColumn("recent", none)
+    assert prompts.batch_prompts(items, ["g"], "DO").first()["prompt"] == 'DO\nINPUT_JSON:\n[{"id":"1","text":"t1","context":"c","tm_hints":[{"source":"a","target":"b"}]},{"id":"2","text":"t2","context":"c","tm_hints":[{"source":"a","target":"b"}]}]'
 
 
 def test_translation(spark):

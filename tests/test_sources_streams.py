@@ -23,7 +23,7 @@ def test_jsonl_and_logs(spark, tmp_path):
 def test_small_files(spark, tmp_path):
     prices = tmp_path / "p.json"
     prices.write_text(json.dumps({"OpenAI": {"M": {"input": 1, "output_per_million": 2}, "N": {"input": 1}}}), encoding="utf-8")
-    assert [tuple(r) for r in files.read_prices(spark, str(prices)).collect()] == [("openai", "m", 1.0, 2.0)]
+    assert [tuple(r) for r in files.read_prices(spark, str(prices)).collect()] == [("openai", "m", 1.0, 2.0, "USD")]
     allow = tmp_path / "a.txt"
     allow.write_text("AMM # note\n\n# x\nsb\n", encoding="utf-8")
     assert files.read_allowlist(str(allow)) == ["amm", "sb"]
@@ -37,6 +37,33 @@ def test_small_files(spark, tmp_path):
     assert files.read_mapping(str(m)) == {4: [7], 5: [1, 3]}
 
 
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "")], "segment_id string, target_tagged string")
+    errors = spark.createDataFrame([("b", "error"), ("a", "warn")], "key string, severity string")
+    for _ in range(2):  # a retry adds nothing
+        files.write_history(rows, errors, str(tmp_path / "h"), "1")
+    assert [r["segment_id"] for r in spark.read.json(str(tmp_path / "h")).collect()] == ["a"]
+    i = spark.createDataFrame([("layout_auto_fix_applied", "<b>"), ("length_ratio_high", "x"), ("other", "y")], "code string, details string")
+    files.write_html(files.format_rows(i), str(tmp_path / "r.html"))
+    page = (tmp_path / "r.html").read_text(encoding="utf-8")
+    assert "&lt;b&gt;" in page and "other" not in page and page.count("<tr>") == 3
+    log = tmp_path / "l.log"
+    log.write_text("TM hits: 3\nx\nTM hits: 12\nend", encoding="utf-8")
+    assert files.last_capture(spark, str(log)) == 12 and files.tail_lines(spark, str(log), 2) == ["TM hits: 12", "end"]
+    (tmp_path / "runs" / "r2").mkdir(parents=True)
+    (tmp_path / "runs" / "r1").mkdir()
+    (tmp_path / "runs" / "r1" / "status.json").write_text('{"phase": "Done"}', encoding="utf-8")
+    (tmp_path / "runs" / "r2" / "status.json").write_text('{"phase": "translate", "returncode": 1}', encoding="utf-8")
+    assert [(r["folder"], r["status"], r["returncode"]) for r in files.runs(spark, str(tmp_path / "runs" / "*" / "status.json")).collect()] == [("r2", "failed", 1), ("r1", "completed", 0)]
+    s = tmp_path / "s.json"
+    s.write_text(json.dumps({"safe_edits": [{"segment_id": "s1", "confidence": 0.5}]}), encoding="utf-8")
+    assert [(r["edit_no"], r["segment_id"]) for r in files.read_suggestions(spark, str(s)).collect()] == [(1, "s1")]
+    c = tmp_path / "c.json"
+    c.write_text('{"mode": " FAST ", "tm": {"top": "5", "on": "yes"}, "codes": "a"}', encoding="utf-8")
+    want = {"mode": "fast", "tm": {"top": 5, "on": True, "share": 0.5}, "codes": ("a",)}
+    assert files.load_config(str(c), {"mode": "slow", "tm": {"top": 3, "on": False, "share": 0.5}, "codes": ()}, {"mode": ("fast", "slow")}) == want
+
+
 def _docx(path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t, s="": f"<w:p>{f'<w:pPr><w:pStyle w:val=\"{s}\"/></w:pPr>' if s else ''}<w:r><w:t>{t}</w:t></w:r></w:p>"
