@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,8 +65,13 @@ def numbers(c: Column | str) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, ",", "."), r"\s+", " "))
 
 
-def tokens(c: Column | str) -> Column:
-    return F.transform(F.regexp_extract_all(col(c), F.lit(FUZZY_TOKEN), F.lit(0)), F.lower)
+def tokens(c: Column | str, pattern: str | None = None) -> Column:
+    """Tokens in lower case by the user's pattern; by the default one where that is none or no expression."""
+    try:
+        re.compile(pattern or "")
+    except re.error:
+        pattern = None
+    return F.transform(F.regexp_extract_all(col(c), F.lit(pattern or FUZZY_TOKEN), F.lit(0)), F.lower)
 
 
 def style_tokens(c: Column | str) -> Column:

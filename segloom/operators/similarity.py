@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 JACCARD_WEIGHT = 0.65
+#: Parts that the entries of a token are dealt to; the queries go to each, so a token that all entries hold is no task of its own.
+PARTS = 16
 
 
-def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    t = F.array_distinct(T.tokens(text))
+def _sets(df: DataFrame, key: str, text: str, pattern: str | None = None) -> DataFrame:
+    t = F.array_distinct(T.tokens(text, pattern))
     return df.select(F.col(key).alias("k"), F.col(text).alias("txt"), t.alias("t")).where(F.size("t") > 0)
 
 
@@ -30,18 +32,20 @@ def _prefixes(sets: DataFrame, df: DataFrame, t: float) -> DataFrame:
     return e.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9)) + 1).select("k", "n", "pos", "x")
 
 
-def jaccard_pairs(queries: DataFrame, entries: DataFrame, q_key: str, q_text: str, e_key: str, e_text: str, t: float) -> DataFrame:
+def jaccard_pairs(queries: DataFrame, entries: DataFrame, q_key: str, q_text: str, e_key: str, e_text: str, t: float, pattern: str | None = None) -> DataFrame:
     """``q, e, jaccard`` of all query and entry pairs of token-set similarity t or more. Texts without tokens match nothing."""
     if not 0 < t <= 1:
         raise ValueError("a similarity above 0 is needed")
-    q, e = _sets(queries, q_key, q_text).dropDuplicates(["k"]), _sets(entries, e_key, e_text).dropDuplicates(["k"])
+    q, e = _sets(queries, q_key, q_text, pattern).dropDuplicates(["k"]), _sets(entries, e_key, e_text, pattern).dropDuplicates(["k"])
     df = e.select(F.explode("t").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
     a, b = _prefixes(q, df, t), _prefixes(e, df, t)
     b = b.select(F.col("k").alias("e"), F.col("n").alias("m"), F.col("pos").alias("pos_e"), "x")
     n, m = F.col("n"), F.col("m")
     least = F.ceil((n + m) * F.lit(t) / F.lit(1 + t) - F.lit(1e-9))
     rest = F.least(n - F.col("pos") + 1, m - F.col("pos_e") + 1)
-    cand = a.join(b, "x").where((n >= m * F.lit(t) - 1e-9) & (m >= n * F.lit(t) - 1e-9) & (rest >= least)).select(F.col("k").alias("q"), "e").distinct()
+    a = a.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    b = b.withColumn("part", F.pmod(F.xxhash64("e"), F.lit(PARTS)).cast("int"))
+    cand = a.join(b, ["x", "part"]).where((n >= m * F.lit(t) - 1e-9) & (m >= n * F.lit(t) - 1e-9) & (rest >= least)).select(F.col("k").alias("q"), "e").distinct()
     full = cand.join(q.select(F.col("k").alias("q"), F.col("t").alias("tq")), "q").join(e.select(F.col("k").alias("e"), F.col("t").alias("te")), "e")
     s = F.size(F.array_intersect("tq", "te"))
     return full.withColumn("jaccard", s / (F.size("tq") + F.size("te") - s)).where(F.col("jaccard") >= t - 1e-12).select("q", "e", "jaccard")
@@ -57,11 +61,20 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def hybrid_top_k(queries: DataFrame, entries: DataFrame, q_key: str, q_text: str, e_key: str, e_text: str, k: int = 3, least: float = 0.75) -> DataFrame:
-    """``q, e, jaccard, ratio, score, hit_rank``. The ratio takes the query first and keeps the matcher's rule on very frequent elements."""
-    need = (least - (1 - JACCARD_WEIGHT)) / JACCARD_WEIGHT
-    pairs = jaccard_pairs(queries, entries, q_key, q_text, e_key, e_text, max(need, 0.01))
+def hybrid_top_k(queries: DataFrame, entries: DataFrame, q_key: str, q_text: str, e_key: str, e_text: str, k: int = 3, least: float = 0.75, mode: str = "hybrid", pattern: str | None = None) -> DataFrame:
+    """``q, e, jaccard, ratio, score, hit_rank``. The ratio takes the query first and keeps the matcher's rule on very frequent elements.
+
+    Mode ``sequence`` scores by the ratio alone, over the pairs that share a token and whose lengths allow the least score; any other
+    mode is ``hybrid``. ``pattern`` is that of the tokens (the default one if it is none).
+    """
+    alone = mode == "sequence"
+    need = 0.0 if alone else (least - (1 - JACCARD_WEIGHT)) / JACCARD_WEIGHT
+    pairs = jaccard_pairs(queries, entries, q_key, q_text, e_key, e_text, max(need, 1e-6), pattern)
     texts = pairs.join(queries.select(F.col(q_key).alias("q"), F.col(q_text).alias("tq")).dropDuplicates(["q"]), "q").join(entries.select(F.col(e_key).alias("e"), F.col(e_text).alias("te")).dropDuplicates(["e"]), "e")
+    # Of lengths n and m at most 2 * min / (n + m) can match, so the others need no look.
+    most = 2.0 * F.least(F.length("tq"), F.length("te")) / (F.length("tq") + F.length("te"))
+    weight = 0.0 if alone else JACCARD_WEIGHT
+    texts = texts.where(F.col("jaccard") * weight + most * (1 - weight) >= least - 1e-9)
     udf = F.pandas_udf(lambda a, b: pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64"), "double")
-    scored = texts.withColumn("ratio", udf("tq", "te")).withColumn("score", F.col("jaccard") * JACCARD_WEIGHT + F.col("ratio") * (1 - JACCARD_WEIGHT))
+    scored = texts.withColumn("ratio", udf("tq", "te")).withColumn("score", F.col("jaccard") * weight + F.col("ratio") * (1 - weight))
     return top_k(scored.where(F.col("score") >= least), "score", k).select("q", "e", "jaccard", "ratio", "score", "hit_rank")

@@ -88,3 +88,25 @@ def test_error_kinds(spark):
     df = spark.createDataFrame([("Request timed out",), ("max_output_tokens hit",), ("invalid JSON",), ("boom",), (None,)], "e string")
     assert [r[0] for r in df.select(recover.error_kind(F.col("e"))).collect()] == ["timeout", "output_limit", "json_contract", "other", None]
     assert one(spark, recover.repair_output(F.col("v")), "x OUTPUT: a\nOUTPUT: b") == "b"
+
+
+def test_sql_functions(spark):
+    from segloom.functions import udfs
+
+    udfs.register(spark, {"болта": "болт"}.get)
+    one = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    assert one("select seq_ratio('tide', 'diet'), seq_ratio(null, 'a')") == [(0.25, None)]
+    assert one("select lemma_missing('болт', 'нет болта'), lemma_missing('болт', 'гайка'), lemma_missing('x', null), lemma_missing('', 'a')") == [(False, True, True, False)]
+    assert one("select * from split_chunks('ab\\ncd\\nefghi', 6)") == [(0, "ab\ncd\n"), (1, "efghi")] and one("select * from split_chunks(null, 6)") == []
+    assert [x for _, x in one("""select * from balanced_json('a {"k": "}"} b {"n": {}}')""")] == ['{"k": "}"}', '{"n": {}}']
+    assert one("select shield_text('see Fig. 3')")[0][0].count("⟦REF_1⟧") == 1
+
+
+def test_small_predicates(spark):
+    df = spark.createDataFrame([("AMS 2750", " ", "x"), ("BSX 4", None, " "), ("ISO", "t", None), (None, None, None)], "a string, b string, c string")
+    assert [tuple(r) for r in df.select(T.is_standard_code("a"), T.target_text("b", "c"), T.has_latin("a"), T.flat("b")).collect()] == [(True, "x", True, ""), (False, "", True, ""), (False, "t", True, "t"), (False, "", False, "")]
+    j = spark.createDataFrame([('{"text": "x"}',), ('{"text": 5}',), ("no",), (None,)], "j string")
+    assert [r[0] for r in j.select(T.structured_field("j", "text")).collect()] == ["x", None, None, None]
+    b = spark.createDataFrame([("⟦BRLINE_1⟧" + "⟦S_1|B⟧x⟦/S_1⟧" * 17, True), ("⟦PN_1⟧" * 13, None), (None, None)], "t string, toc boolean")
+    assert [list(r[0]) for r in b.select(T.batch_reasons("t", F.col("toc"))).collect()] == [["toc_entry", "contains_brline", "too_many_style_tokens"], ["too_many_placeholders"], []]
+    assert [list(r[0]) for r in b.select(T.batch_reasons("t", F.col("toc"), False, -1)).collect()][0] == ["toc_entry"]

@@ -52,6 +52,9 @@ def test_hybrid_lookup(spark):
     q = spark.createDataFrame([("q", "install lower bearing subassembly")], "k string, t string")
     got = similarity.hybrid_top_k(q, m, "k", "t", "h", "t", 3, 0.4).orderBy("hit_rank").collect()
     assert got[0]["e"] == "h1" and got[0]["score"] == 1.0 and [r["score"] for r in got] == sorted((r["score"] for r in got), reverse=True)
+    seq = similarity.hybrid_top_k(q, m, "k", "t", "h", "t", 3, 0.5, "sequence").collect()
+    assert {r["e"]: round(r["score"], 6) for r in seq} == {e: round(similarity.ratio("install lower bearing subassembly", t), 6) for e, t in (("h1", "install lower bearing subassembly"), ("h3", "install lower bearing assembly"))}
+    assert similarity.hybrid_top_k(q, m, "k", "t", "h", "t", 3, 0.4, pattern="[").count() == len(got) and similarity.hybrid_top_k(q, m, "k", "t", "h", "t", 3, 0.4, pattern="zz").count() == 0
     assert similarity.ratio("tide", "diet") == 0.25 and similarity.ratio("diet", "tide") == 0.5
 
 
@@ -192,6 +195,46 @@ def test_monotone_and_greedy_maps():
     assert alignment.greedy_map([bag(x) for x in base], [bag(x) for x in over]) == [[0, 1], [2], [3, 4]]
 
 
+def test_grouped_pages(spark):
+    rows = [("p", "base", i, {w: 1 for w in t.split()}) for i, t in enumerate(["alpha one", "alpha two", "bravo", "delta"])] + [("p", "overlay", i, {w: 1 for w in t.split()}) for i, t in enumerate(["alpha one two", "delta bravo"])]
+    got = alignment.grouped(spark.createDataFrame(rows, "pair string, side string, no int, tokens map<string,int>")).orderBy("row").collect()
+    assert [(r["row"], list(r["columns"])) for r in got] == [(0, [0, 1]), (1, [2, 3])]
+    assert alignment.page_mapping("greedy_group") is alignment.grouped_map
+    with pytest.raises(ValueError):
+        alignment.page_mapping("other")
+
+
+def test_recent_terms_over_blocks(spark, monkeypatch):
+    """Blocks of a document give what one fold over all of it does."""
+    monkeypatch.setattr(glossary, "BLOCK", 5)
+    rng = random.Random(8)
+    seg = [(f"s{d}{i:02}", f"d{d}", i * 2) for d in range(2) for i in range(30)]
+    hits = [(s, rng.choice("abcdefg"), d) for s, d, _ in seg for _ in range(rng.randint(0, 2))]
+    want = {}
+    for d in ("d0", "d1"):
+        seen = []
+        for s, doc, _ in seg:
+            if doc == d:
+                if seen:
+                    want[s] = "|".join(seen[-4:])
+                for t in sorted({t for k, t, _ in hits if k == s}):
+                    seen = [x for x in seen if x != t] + [t]
+    found = spark.createDataFrame([(k, t) for k, t, _ in hits], "key string, term string")
+    got = glossary.recent_terms(found, spark.createDataFrame(seg, "segment_id string, doc_id string, seq long"), 4)
+    assert {r["segment_id"]: r["terms"] for r in got.collect()} == want
+
+
+def test_memory_records(spark):
+    p = spark.createDataFrame([("a", "ok", "h1", None, 5), ("b", "error", None, "x", 9)], "segment_id string, status string, source_hash string, error string, updated_at int")
+    new = p.where("segment_id = 'b'").withColumn("status", F.lit("ok")).withColumn("updated_at", F.lit(1))
+    assert {(r["segment_id"], r["status"]) for r in memory.put_progress(p, new).collect()} == {("a", "ok"), ("b", "ok")}
+    s = spark.createDataFrame([("s", "⟦PN_1⟧ a", "⟦PN_1⟧⟦S_1⟧ b", {"⟦PN_1⟧": "77"}, None), ("t", None, "x", None, True)], "segment_id string, shielded_tagged string, target_shielded_tagged string, token_map map<string,string>, in_table boolean")
+    assert [(r["source_text"], r["target_text"], r["in_table"]) for r in memory.history(s, "llm").orderBy("segment_id").collect()] == [("77 a", "77 b", False), ("", "x", True)]
+    k = memory.profile_key({"provider": " OpenAI ", "fuzzy_min_similarity": 0.75, "hard_glossary": True}, "a  b\r\n", None)
+    assert k.startswith("provider=openai|model=|") and "hard_glossary=1" in k and "fuzzy_min_similarity=0.7500" in k and "reasoning_effort=default" in k and k.endswith("glossary_sha=none")
+    assert memory.fingerprint("a  b\r\n") == memory.fingerprint("a b") != memory.fingerprint("ab") and k.count("|") == 28
+
+
 def test_usage(spark):
     u = spark.createDataFrame([("translate", 120, 55, 175, 0.0105), ("checker", 40, 12, 52, 0.0012), ("", -5, 1, 1, None)], "phase string, input_tokens int, output_tokens int, total_tokens int, cost double")
     got = {r["phase"]: r for r in usage.totals(u).collect()}

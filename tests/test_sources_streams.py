@@ -81,6 +81,28 @@ def test_document_source(spark, tmp_path):
     assert got[1]["location"] == "body/t0/r0/c0/p0" and len({r["segment_id"] for r in got}) == 6
 
 
+def test_document_extents(tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"'
+    r = lambda t: f"<w:r><w:t>{t}</w:t></w:r>"
+    box = f'<w:drawing><wp:extent cx="635000" cy="63500"/><w:txbxContent><w:p>{r("boxed")}</w:p></w:txbxContent></w:drawing>'
+    body = f'<w:tbl><w:tr><w:tc/><w:tc><w:tcPr><w:tcW w:w="900"/></w:tcPr><w:p>{r("cell")}</w:p></w:tc></w:tr></w:tbl><w:p><w:pPr><w:framePr w:w="400" w:h="0"/></w:pPr>{r("framed")}<w:r>{box}</w:r></w:p><w:p>{r("Bolts ....... 12")}</w:p>'
+    with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+    got = [(x[4], *x[10:]) for x in docx.segments_of(str(tmp_path / "b.docx"))]
+    assert got == [("cell", False, False, 0, 0, 1, 900, None), ("framed", False, True, None, None, None, 400, None), ("Bolts ....... 12", True, False, None, None, None, None, None), ("boxed", False, False, None, None, None, 1000, 100)]
+
+
+def test_pages_of_a_pdf():
+    from segloom.sources import pdf
+
+    line = lambda *t, d=(1, 0): {"dir": d, "spans": [{"text": x, "font": "Arial-BoldMT", "size": 9, "flags": 2, "color": 0x0102FF} for x in t]}
+    page = {"blocks": [{"type": 1}, {"type": 0, "bbox": (1, 2, 3, 4), "lines": [line("a", "b"), line("c", d=(0, 1))]}, {"type": 0, "lines": [line("  ")]}, {"lines": [line("z")]}]}
+    got = list(pdf.blocks_of(page))
+    assert [(n, b, t) for n, b, t, _ in got] == [(0, [1.0, 2.0, 3.0, 4.0], "ab\nc"), (1, [0.0] * 4, "z")]
+    s = got[0][3][2]
+    assert (s["bold"], s["italic"], s["color"], s["rotation"]) == (True, True, [1, 2, 255], 90.0) and pdf.colour(-1) is None and pdf.colour("x") is None and pdf.rotation(None) == 0.0
+
+
 def _drain(df, mode, name):
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
     q.processAllAvailable()
@@ -115,3 +137,18 @@ def test_liveness_marks_beats(spark, tmp_path):
     q.awaitTermination(60)
     q.stop()
     assert [(r["session"], r["stale"]) for r in spark.sql("select * from live").collect()] == [("a", False)]
+
+
+def test_liveness_reports_a_silent_session_once(spark, tmp_path):
+    import time
+
+    d = tmp_path / "silent"
+    d.mkdir()
+    (d / "1.json").write_text('{"session": "a"}\n', encoding="utf-8")
+    q = state.liveness(spark.readStream.schema("session string").json(str(d)), 500).writeStream.outputMode("update").format("memory").queryName("silent").trigger(processingTime="200 milliseconds").start()
+    end = time.time() + 60
+    while time.time() < end and not spark.sql("select * from silent where stale").count():
+        time.sleep(0.5)
+    time.sleep(2)
+    q.stop()
+    assert [r["stale"] for r in spark.sql("select * from silent").collect()] == [False, True]
