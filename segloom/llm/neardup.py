@@ -4,7 +4,9 @@ Grouped prefix join. Words of a record are put in one global order, rarest first
 n and m words with a Jaccard similarity of t or more share at least t / (1 + t) * (n + m) words,
 so they share one among the first few. Records with the same words form a class; classes with
 the same prefix and size form a group; groups are joined on a shared prefix word, filtered by
-size and by the words that can still follow, expanded to classes and verified exactly.
+size, by the words that can still follow and by bitmaps, expanded to classes and verified exactly.
+A bitmap has the parity of the words that fall on each of its bits: two sets differ in at least as
+many words as their bitmaps in bits, so a pair that can't be similar is dropped where it meets.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ SIMILARITY = 0.8
 MIN_WORDS = 40
 #: A prefix word of more groups than this is joined in so many parts of its groups (see _joined).
 PART_GROUPS = 2_000
+#: Words of 64 bits in a bitmap.
+BITMAP = 4
 
 
 def words(text) -> F.Column:
@@ -49,27 +53,38 @@ def _ordered(classes: DataFrame) -> DataFrame:
     return exploded.join(df, "x").groupBy("class_id").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("df", "x"))), lambda s: s["x"]).alias("w"))
 
 
+def _bitmap(w) -> list[F.Column]:
+    """Columns ``s0, s1, ..`` of a list of word hashes."""
+    one = F.lit(1).cast("bigint")
+    bit = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
+    here = lambda x, k: F.shiftright(x, 6).bitwiseAND(F.lit(BITMAP - 1)) == k
+    parity = lambda k: F.aggregate(w, F.lit(0).cast("bigint"), lambda acc, x: F.when(here(x, k), acc.bitwiseXOR(bit(x))).otherwise(acc))
+    return [parity(k).alias(f"s{k}") for k in range(BITMAP)]
+
+
 def _joined(entries: DataFrame, t: float) -> DataFrame:
     """Pairs of groups ``g1 < g2`` that may hold similar records: sizes and the words that can still be shared allow it.
 
     Rows are keyed by prefix word and size band; bands are 1 / t wide, so a partner is in the same or the next band.
-    A key with very many groups is cut into parts of the right side, each joined in a task of its own.
+    A key with very many groups is cut into parts of the right side, each joined in a task of its own. Bitmaps are null in
+    groups of several classes, which they don't speak for.
     """
-
-
+    maps = [f"s{k}" for k in range(BITMAP)]
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / t)) + F.lit(1e-9)).cast("int")
     e = entries.withColumn("band", band)
     load = e.groupBy("x", "band").agg(F.count("*").alias("c"))
-    left = e.select("x", F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    left = e.select("x", F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), *(F.col(c).alias(f"a{c}") for c in maps), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     parts = load.select("x", "band", F.greatest(F.lit(1), F.ceil(F.col("c") / PART_GROUPS)).cast("int").alias("parts"))
     hot = parts.where("parts > 1")
     left = left.join(hot, ["x", "band"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    right = e.select("x", "band", F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("pos").alias("p2")).join(hot, ["x", "band"], "left")
+    right = e.select("x", "band", F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), *(F.col(c).alias(f"b{c}") for c in maps)).join(hot, ["x", "band"], "left")
     right = right.withColumn("part", F.pmod(F.xxhash64("g2"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     n1, n2, p1, p2 = (F.col(c) for c in ("n1", "n2", "p1", "p2"))
     rest = F.least(n1 - p1, n2 - p2)  # positions count from 0: the shared word and all behind it
+    apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in maps[1:]), F.bit_count(F.col(f"a{maps[0]}").bitwiseXOR(F.col(f"b{maps[0]}"))))
+    near = F.coalesce(n1 + n2 - apart >= 2 * _least_shared(n1, n2, t), F.lit(True))
     smaller_first = (n1 < n2) | ((n1 == n2) & (F.col("g1") <= F.col("g2")))
-    return left.join(right, ["x", "band", "part"]).where(smaller_first & (n1 >= F.ceil(n2 * F.lit(t) - F.lit(1e-9))) & (rest >= _least_shared(n1, n2, t))).select("g1", "g2").distinct()
+    return left.join(right, ["x", "band", "part"]).where(smaller_first & (n1 >= F.ceil(n2 * F.lit(t) - F.lit(1e-9))) & (rest >= _least_shared(n1, n2, t)) & near).select("g1", "g2").distinct()
 
 
 def similar_classes(classes: DataFrame, t: float = SIMILARITY) -> DataFrame:
@@ -78,8 +93,9 @@ def similar_classes(classes: DataFrame, t: float = SIMILARITY) -> DataFrame:
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9)).cast("int") + 1
     o = o.withColumn("p", F.slice("w", 1, prefix)).withColumn("g", F.struct(F.xxhash64("p", "n"), F.xxhash64("n", "p")))
     o = o.select("class_id", "n", "w", "p", F.concat_ws("/", "g.col1", "g.col2").alias("g"))
-    groups = o.groupBy("g").agg(F.first("n").alias("n"), F.first("p").alias("p"))
-    entries = groups.select("g", "n", F.posexplode("p").alias("pos", "x"))
+    maps = [f"s{k}" for k in range(BITMAP)]
+    groups = o.select("g", "n", "p", *_bitmap("w")).groupBy("g").agg(F.first("n").alias("n"), F.first("p").alias("p"), *(F.when(F.count("*") == 1, F.first(c)).alias(c) for c in maps))
+    entries = groups.select("g", "n", *maps, F.posexplode("p").alias("pos", "x"))
     pairs = _joined(entries, t)
     member = o.select("g", "class_id", "n", "w")
     left = member.select(F.col("g").alias("g1"), F.col("class_id").alias("a"), F.col("w").alias("wa"), F.col("n").alias("na"))
