@@ -431,3 +431,13 @@ SQL = {
       CASE WHEN config_id > 0 THEN 0.1::DOUBLE ELSE 0.0 END AS ratio, config_id * 10 >= 20 AND 0.1::DOUBLE > warn_at AS warn FROM h""",
     "q94_table_regions": f"""WITH {BLK}, {PAG}, {DRA}, {REG} SELECT doc_id, page_number, region_id, round(rx0, 3) AS x0, round(ry0, 3) AS y0, round(rx1, 3) AS x1, round(ry1, 3) AS y1 FROM reg""",
 }
+
+SQL["q69_document_quality_all_rules"], SQL["q70_quality_summary_all_rules"] = SQL["q25_document_quality"], SQL["q26_quality_summary"]
+SQL["q83_skipped_reasons"] = f"SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ',')) AS reason FROM ({SQL['q38_apply_edits']}) WHERE NOT applied) GROUP BY 1"
+#: Blocks with the columns they come with, and their types without table regions.
+GIVEN = f"""blk AS (SELECT doc_id, page_number, block_id, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1, b.text AS text, b.c AS c FROM (SELECT doc_id, page_number, block_id, min(struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1, text := text, u := column_index IS NULL, c := coalesce(column_index, 0))) AS b FROM pdf_blocks GROUP BY ALL) WHERE length({strip('b.text')}) > 0),
+{PAG}, {MAR}, typ AS (SELECT b.*, CASE WHEN m.pages IS NOT NULL THEN a.kind WHEN b.y1 <= height_pt * 0.1::DOUBLE THEN 'header' WHEN b.y0 >= height_pt * 0.9::DOUBLE THEN 'footer' ELSE 'body' END AS block_type FROM blk b JOIN pag USING (doc_id, page_number)
+  JOIN atm a ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.block_id = b.block_id LEFT JOIN mar m ON m.doc_id = b.doc_id AND m.kind = a.kind AND m.norm = a.norm)"""
+SQL["q71_column_block_islands"] = f"""WITH {GIVEN}, f AS (SELECT *, CASE WHEN coalesce(block_type = lag(block_type) OVER w AND c = lag(c) OVER w AND abs(x0 - lag(x0) OVER w) <= 24 AND y0 - lag(y1) OVER w <= 18, false) THEN 0 ELSE 1 END AS brk FROM typ WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY c, y0, x0, block_id)),
+  i AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, page_number ORDER BY c, y0, x0, block_id ROWS UNBOUNDED PRECEDING) AS island FROM f), g AS (SELECT doc_id, page_number, island, min(x0) AS x0, min(y0) AS y0, max(y1) AS y1, count(*) AS blocks, length(string_agg(text, chr(10) ORDER BY y0, x0, block_id)) AS chars FROM i GROUP BY ALL)
+  SELECT doc_id, page_number, 'pdf-p' || page_number || '-s' || (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, island) - 1) AS segment_id, blocks, round(x0, 3) AS x0, round(y1, 3) AS y1, chars FROM g"""
