@@ -62,9 +62,11 @@ def test_masking_cases(spark):
         shield.shield(F.lit("x"), (shield.Rule("X", "("),))
     import re
 
-    terms = [(re.compile(r"lower(?:\s+|⟦BR[^⟧]*⟧)+bearing"), "нижний подшипник")]
-    assert shield.mask_terms("lower⟦BRLINE_1⟧bearing", terms)[1] == {}
-    assert shield.mask_terms("lower⟦BRLINE_1⟧bearing", terms, bridge=True) == ("⟦GLS_1⟧", {"⟦GLS_1⟧": "нижний подшипник"})
+    terms = [(re.compile(r"left(?:\s+|⟦BR[^⟧]*⟧)+hinge"), "левая петля")]
+    # Numbers follow the pieces between markers, not the rules.
+    assert shield.mask("Table 2⟦S_1⟧Fig. 3⟦/S_1⟧", shield.DEFAULT_RULES) == ("⟦REF_1⟧⟦S_1⟧⟦REF_2⟧⟦/S_1⟧", {"⟦REF_1⟧": "Table 2", "⟦REF_2⟧": "Fig. 3"})
+    assert shield.mask_terms("left⟦BRLINE_1⟧hinge", terms)[1] == {}
+    assert shield.mask_terms("left⟦BRLINE_1⟧hinge", terms, bridge=True) == ("⟦GLS_1⟧", {"⟦GLS_1⟧": "левая петля"})
     safe, kept = shield.protect_markers("a ⟦X_1⟧ b")
     assert shield.restore_markers(safe.upper(), kept) == "A ⟦X_1⟧ B"
     assert shield.tagged_pieces("a⟦S_1|B⟧b⟦/S_1⟧⟦BRLINE_1⟧c") == [("plain", "a"), ("span:1", "b"), ("marker", "⟦BRLINE_1⟧"), ("plain", "c")]

@@ -91,7 +91,7 @@ def test_inconsistency_needs_a_strict_majority(spark):
 
 @pytest.mark.parametrize(("s", "t", "code"), [
     ("Hello ⟦PN_1⟧ ⟦S_1⟧x⟦/S_1⟧", "⟦PN_2⟧", "placeholders_mismatch"), ("⟦S_1⟧a⟦/S_1⟧⟦S_2⟧b⟦/S_2⟧", "⟦S_2⟧a⟦/S_2⟧⟦S_1⟧b⟦/S_1⟧", "style_tags_mismatch"), ("5 mm", "6 мм", "numbers_mismatch"), ("Text", None, "empty_translation"),
-    ("Remove", "Снимите этот узел полностью", "length_ratio_high"), ("x" * 53, "Установите узел.", "short_translation"), ("a", "Снимите bolt и nut.", "untranslated_fragments"), ("a", "Снимите снимите болт", "repeated_words"), ("a", "Перевод SECTION=Hydraulic", "context_leakage"),
+    ("Remove", "Снимите этот узел полностью", "length_ratio_high"), ("x" * 53, "Установите узел.", "short_translation"), ("a", "Смажьте hinge и latch.", "untranslated_fragments"), ("a", "Снимите снимите болт", "repeated_words"), ("a", "Текст SECTION=Brakes", "context_leakage"),
 ])
 def test_validators(spark, s, t, code):
     df = spark.createDataFrame([("k", s, t)], "k string, s string, t string")
