@@ -47,6 +47,46 @@ def test_jaccard_equals_brute_force(spark):
     assert {(r["q"], r["e"]) for r in got.collect()} == want
 
 
+def test_lookup_moves_no_more_than_similar_pairs(spark):
+    # Texts share a rare word but little else: many candidates, few pairs, and those as in brute force.
+    rng = random.Random(5)
+    text = lambda i: " ".join([f"r{i % 7}", *(f"w{rng.randint(0, 400)}" for _ in range(9))])
+    texts = [(f"e{i:03}", text(i)) for i in range(200)]
+    texts += [(f"f{i:03}", t) for i, (_, t) in enumerate(texts[:40])] + [(f"g{i:03}", t.upper()) for i, (_, t) in enumerate(texts[:40])] + [("e_null", None), ("e_empty", "!")]
+    q = [(f"q{i}", t) for i, (_, t) in enumerate(texts[:30])] + [(f"r{i}", t + " of unknown") for i, (_, t) in enumerate(texts[:30])]
+    sets = lambda t: set((t or "!").lower().replace("!", "").split())
+    jac = lambda x, y: len(sets(x) & sets(y)) / max(1, len(sets(x) | sets(y)))
+    want, hybrid = {}, {}
+    for a, x in q:
+        best = sorted((-round(jac(x, y), 6), b) for b, y in texts if jac(x, y) >= 0.7)[:3]
+        want |= {(a, b): (r, -s) for r, (s, b) in enumerate(best, 1)}
+        scored = [(-(0.65 * jac(x, y) + (1 - 0.65) * similarity.ratio(x, y)), b) for b, y in texts if y and jac(x, y) > 0]
+        hybrid |= {(a, b): (r, round(-s, 9)) for r, (s, b) in enumerate(sorted(x for x in scored if -x[0] >= 0.75)[:3], 1)}
+    frames = spark.createDataFrame(q, "a string, b string"), spark.createDataFrame(texts, "a string, b string")
+    candidates = []
+    spied = similarity._similar_sets
+    similarity._similar_sets = lambda *a: candidates.append(spied(*a)) or candidates[-1]
+    try:
+        got = similarity.jaccard_top_k(*frames, "a", "b", "a", "b", 0.7)
+        best = similarity.hybrid_top_k(*frames, "a", "b", "a", "b")
+    finally:
+        similarity._similar_sets = spied
+    assert {(r["q"], r["e"]): (r["hit_rank"], r["jaccard"]) for r in got.collect()} == want
+    assert {(r["q"], r["e"]): (r["hit_rank"], round(r["score"], 9)) for r in best.collect()} == hybrid
+    # What leaves the join is similar, and equal sets (three keys here) are one.
+    assert all(c.count() == c.distinct().count() and c.where(f"jaccard < {t} - 1e-9").isEmpty() for c, t in zip(candidates, (0.7, 0.4 / 0.65)))
+    assert candidates[0].count() == len({(frozenset(sets(x)), frozenset(sets(y))) for _, x in q for _, y in texts if jac(x, y) >= 0.7})
+
+
+def test_hot_token_is_dealt(spark, monkeypatch):
+    texts = [(f"e{i:02}", f"hot w{i % 9} v{i % 4}") for i in range(40)]
+    frame = spark.createDataFrame(texts, "a string, b string")
+    pairs = lambda: {(r["q"], r["e"], round(r["jaccard"], 9)) for r in similarity.jaccard_pairs(frame, frame, "a", "b", "a", "b", 0.2).collect()}
+    whole = pairs()
+    monkeypatch.setattr(similarity, "PART_PAIRS", 30)
+    assert pairs() == whole and len(whole) == 1600
+
+
 def test_hybrid_lookup(spark):
     m = spark.createDataFrame([("h1", "install lower bearing subassembly"), ("h2", "remove upper torque link"), ("h3", "install lower bearing assembly")], "h string, t string")
     q = spark.createDataFrame([("q", "install lower bearing subassembly")], "k string, t string")
