@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -22,9 +22,7 @@ from ..session import materialize
 #: A stem is so many first letters of a word, which unites most of its endings.
 STEM = 5
 #: Word pairs seen less often, or with a smaller association, are no translations.
-LEAST_SEEN, LEAST_DICE, TRANSLATIONS = 2, 0.08, 6
-#: Training units are entries of one sentence and at most so many different words a side.
-UNIT_WORDS = 64
+LEAST_SEEN, LEAST_DICE = 2, 0.08
 #: Regularisation of the transport, and the similarity at which matching a sentence or leaving it out cost the same.
 EPSILON, NULL_SIMILARITY = 0.04, 0.33
 #: Rounds of scaling after which it is taken for an error that the transport has not settled.
@@ -56,18 +54,17 @@ def sentences(text: str) -> list[tuple[int, str]]:
 
 
 def association(entries: DataFrame, source: str, target: str) -> DataFrame:
-    """``s, t, w``: for each source word its strongest target stems, by the Dice coefficient over all training units."""
+    """``s, t, w``: for each source word all target stems associated well enough with it, by the Dice coefficient over all one-sentence entries."""
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)([\p{L}\p{N}]+)"), F.lit(1)))
     words = lambda c: F.filter(tokens(c), lambda x: ~x.rlike(r"\d"))
     one = ~F.contains(F.trim(source), F.lit("\n")) & (F.regexp_count(F.col(source), F.lit(r"[.!?;](\s|$)")) <= 1)
     units = entries.where(one).select(words(F.col(source)).alias("s"), F.array_distinct(F.transform(words(F.col(target)), lambda x: F.left(x, F.lit(STEM)))).alias("t"))
-    units = materialize(units.where((F.size("s") > 0) & (F.size("t") > 0) & (F.size("s") <= UNIT_WORDS) & (F.size("t") <= UNIT_WORDS)))
+    units = materialize(units.where((F.size("s") > 0) & (F.size("t") > 0)))
     ns = units.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("ns"))
     nt = units.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("nt"))
     both = units.select(F.explode("s").alias("s"), "t").select("s", F.explode("t").alias("t")).groupBy("s", "t").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEN)
-    dice = both.join(ns, "s").join(nt, "t").withColumn("w", 2 * F.col("n") / (F.col("ns") + F.col("nt"))).where(F.col("w") >= LEAST_DICE)
-    rank = Window.partitionBy("s").orderBy(F.col("w").desc(), "t")
-    return dice.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= TRANSLATIONS).select("s", "t", "w")
+    dice = both.join(ns, "s").join(nt, "t").withColumn("w", 2 * F.col("n") / (F.col("ns") + F.col("nt")))
+    return dice.where(F.col("w") >= LEAST_DICE).select("s", "t", "w")
 
 
 def vectors(source: list[str], target: list[str], table: dict[str, list[tuple[str, float]]], weight: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +158,9 @@ def _joining(sim: np.ndarray, alike: np.ndarray, linked: set[tuple[int, int]]) -
 
 
 def _entries(entries: DataFrame, key: str, source: str, target: str) -> DataFrame:
-    """``key, src, tgt, lex`` of entries with more than one source line; ``lex`` has the translations of the entry's own words."""
-    known = association(entries, source, target)
+    """``key, src, tgt, lex`` of entries with more than one source line; ``lex`` has the translations of the entry's own words, those of a word in one string."""
+    by_stem = association(entries, source, target).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("t", "w"))).alias("l"))
+    known = by_stem.select("s", F.array_join(F.col("l")["t"], " ").alias("t"), F.col("l")["w"].alias("w"))
     multi = entries.where(F.contains(source, F.lit("\n")) & F.col(target).isNotNull()).select(F.col(key).alias("key"), F.col(source).alias("src"), F.col(target).alias("tgt"))
     words = multi.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("src"), F.lit(r"(?U)([\p{L}\p{N}]+)"), F.lit(1)))).alias("s"))
     lex = words.join(known, "s").groupBy("key").agg(F.collect_list(F.struct("s", "t", "w")).alias("lex"))
@@ -174,9 +172,7 @@ def _each(align, kind: str):
     def run(src: pd.Series, tgt: pd.Series, lex: pd.Series) -> pd.Series:
         out = []
         for s, t, x in zip(src, tgt, lex):
-            table: dict[str, list[tuple[str, float]]] = {}
-            for r in x if x is not None else ():
-                table.setdefault(r["s"], []).append((r["t"], r["w"]))
+            table = {r["s"]: list(zip(r["t"].split(" "), r["w"])) for r in (x if x is not None else ())}
             out.append(align(s, t, table))
         return pd.Series(out)
 

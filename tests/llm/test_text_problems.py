@@ -183,6 +183,16 @@ def test_alignment_groups():
     assert align.align_groups("", "", {}) == []
 
 
+def test_association_keeps_all_translations_and_long_entries(spark):
+    """Eight words are one word's translations, equally well; entries of a hundred words teach as well."""
+    targets = [f"{c}слово" for c in "абвгдежз"]
+    rows = [(f"a{i}{j}", "flange", t) for i, t in enumerate(targets) for j in range(3)]
+    long = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100))
+    rows += [(f"l{j}", long, " ".join(chr(1072 + i // 26) + chr(1072 + i % 26) for i in range(100))) for j in range(2)]
+    got = align.association(spark.createDataFrame(rows, "h string, s string, t string"), "s", "t").groupBy("s").count().collect()
+    assert {r["s"]: r["count"] for r in got} == {"flange": 8} | {w: 100 for w in long.split()}
+
+
 # -- problem 6 -----------------------------------------------------------------------------------------------------------
 def _scan_tables(spark):
     seg = [(f"c{i}", "man", i, 1, None, "Install the steering collar near the gearbox cover. Tighten the self-sealing coupling before each flight.", None, "body/p1") for i in range(30)]
