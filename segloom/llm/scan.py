@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
+from ..sources.tables import keep_latest
 
 #: Share of the page height at the top and bottom that holds running lines and page numbers.
 MARGIN = 0.08
@@ -355,21 +356,24 @@ def noise_kinds(segments: DataFrame, blocks: DataFrame, pages: DataFrame) -> Dat
 def paragraphs(segments: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """``doc_id, page_number, block_id, text``: continuous clean paragraphs of each document, in reading order of the first two keys and the column.
 
+    Blocks that only ``segments`` has count as well: the latest extraction, placed behind the block before it on its page.
     Margins and noise lines are gone, divided and misread words repaired, lines joined by blanks. A block goes on in the
     next one of its page, or the first one of the next page, if it has no final mark and the other starts with a small
     letter; a paragraph may go over any number of page breaks.
     """
     _, bodies, repairs = analyse(segments, blocks, pages)
-    b = bodies.where("table_name = 'pdf_blocks'").select("record_key", "clean")
-    fix = repairs.where("table_name = 'pdf_blocks'").groupBy("record_key").agg(F.collect_set(F.struct("before", "w", "c")).alias("fixes"))
+    b = bodies.select("table_name", "record_key", F.col("text").alias("raw"), "clean")
+    fix = repairs.groupBy("table_name", "record_key").agg(F.collect_set(F.struct("before", "w", "c")).alias("fixes"))
 
     @F.pandas_udf("string")
     def repaired(text: pd.Series, fixes: pd.Series) -> pd.Series:
         return pd.Series([_repair(t, f) for t, f in zip(text, fixes)])
 
     place = blocks.select("doc_id", "page_number", "block_id", "column_index", "x0", "y0").groupBy("doc_id", "page_number", "block_id").agg(*(F.min(c).alias(c) for c in ("column_index", "x0", "y0")))
-    place = place.withColumn("record_key", F.concat_ws("/", "doc_id", "page_number", "block_id"))
-    t = b.join(fix, "record_key", "left").withColumn("text", repaired("clean", "fixes")).where(F.length("text") > 0).join(place, "record_key")
+    place = place.withColumn("table_name", F.lit("pdf_blocks")).withColumn("record_key", F.concat_ws("/", "doc_id", "page_number", "block_id")).withColumn("raw", F.lit(None).cast("string"))
+    place = _with_segments(place, segments)
+    t = b.join(fix, ["table_name", "record_key"], "left").withColumn("text", repaired("clean", "fixes")).where(F.length("text") > 0)
+    t = t.withColumnRenamed("raw", "body").join(place, ["table_name", "record_key"]).where("raw is null or raw = body").dropDuplicates(["doc_id", "page_number", "block_id", "text"])
     page = Window.partitionBy("doc_id", "page_number").orderBy(F.coalesce("column_index", F.lit(0)), "y0", "x0", "block_id")
     ended = F.col("text").rlike(r"[.!?:;]\W*$")
     t = t.withColumn("ended", ended).withColumn("small", F.col("text").rlike(r"^\p{Ll}")).withColumn("pos", F.row_number().over(page)).withColumn("start", (~(F.col("small") & F.coalesce(~F.lag("ended").over(page), F.lit(False)))).cast("int"))
@@ -385,6 +389,17 @@ def paragraphs(segments: DataFrame, blocks: DataFrame, pages: DataFrame) -> Data
     return g.select("doc_id", F.col("b")[0]["page_number"].alias("page_number"), F.col("b")[0]["block_id"].alias("block_id"), F.array_join(F.transform("b", lambda x: x["text"]), " ").alias("text"))
 
 
+def _with_segments(place: DataFrame, segments: DataFrame) -> DataFrame:
+    """Places of blocks, and those of the scanned segments without a block: their latest text ``raw``, at the coordinates of the last block before them on the page."""
+    part = lambda i: F.regexp_extract("location", r"^pdf/p(\d+)(?:/s(\d+))?", i)
+    s = segments.where(F.col("location").startswith("pdf/") & (F.length(F.trim("source_plain")) > 0))
+    s = s.select("doc_id", part(1).try_cast("int").alias("page_number"), F.coalesce(part(2).try_cast("int"), F.col("seq").cast("int")).alias("block_id"), F.lit("segments").alias("table_name"), F.col("segment_id").alias("record_key"), F.col("source_plain").alias("raw"), "extracted_at")
+    alone = s.join(place.select("doc_id", "page_number", "block_id"), ["doc_id", "page_number", "block_id"], "left_anti")
+    latest = keep_latest(alone, ["doc_id", "page_number", "block_id"], [F.col("extracted_at").desc_nulls_last(), F.col("record_key"), F.col("raw")]).drop("extracted_at")
+    before = Window.partitionBy("doc_id", "page_number").orderBy("block_id").rowsBetween(Window.unboundedPreceding, 0)
+    return place.unionByName(latest, allowMissingColumns=True).withColumns({c: F.last(c, ignorenulls=True).over(before) if c != "column_index" else F.when(F.col("table_name") == "segments", F.last(c, ignorenulls=True).over(before)).otherwise(F.col(c)) for c in ("column_index", "x0", "y0")})
+
+
 def _repair(text: str, fixes) -> str:
     """Misread words replaced in the case they were in; white space becomes single blanks."""
     known = {(f["before"], f["w"]): f["c"] for f in fixes} if fixes is not None else {}

@@ -1,6 +1,7 @@
 """Small cases, brute force and edge cases of the text operators."""
 
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -262,6 +263,18 @@ def test_paragraphs_over_many_pages(spark):
     assert got == both | {("d", 1, 0, "First one."), ("d", 1, 1, "The gland nut is held by the torsion bar."), ("e", 2, 0, "is held by the torsion bar.")}
 
 
+def test_paragraphs_of_segments_without_blocks(spark):
+    """Documents and blocks that only segments have come out as well, each once and by their latest text; others not twice."""
+    _, b, p = _scan_tables(spark)
+    day = lambda n: datetime(2025, 1, n)
+    rows = [("b0", "d", 0, "The gland nut\nis held", "pdf/p1/s0", day(1)), ("b1", "d", 1, "by the old bar", "pdf/p1/s1", day(1)), ("b1", "d", 1, "by the tor-\nsion bar", "pdf/p1/s1", day(2))]
+    rows += [("b1", "d", 1, "by the tor-\nsion bar", "pdf/p1/s1", day(2)), ("b2", "d", 2, "and the cap.", "pdf/p1/s2", day(1)), ("e0", "e", 0, "Only here.", "pdf/p2/s0", day(1)), ("m", "man", 0, "No scan.", "body/p1", day(1)), ("z", "e", 1, None, "pdf/p2/s1", day(1))]
+    seg = spark.createDataFrame([(k, d, n, 1, at, t, None, at_) for k, d, n, t, at_, at in rows], SEG)
+    blocks = spark.createDataFrame([("d", 1, i, 60.0, 100.0 + 90 * i, 300.0, 140.0 + 90 * i, x, 0) for i, x in ((0, "The gland nut\nis held"), (2, "and the cap."))], b.schema)
+    pages = spark.createDataFrame([(d, n, 595.0, 842.0, True) for d, n in (("d", 1), ("e", 2))], p.schema)
+    assert sorted(tuple(r) for r in scan.paragraphs(seg, blocks, pages).collect()) == [("d", 1, 0, "The gland nut is held by the torsion bar and the cap."), ("e", 2, 0, "Only here.")]
+
+
 # -- problem 7 -----------------------------------------------------------------------------------------------------------
 def test_lookalikes(spark):
     base = "Align the vent line at the mètre mark 5"
