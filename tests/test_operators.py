@@ -87,6 +87,23 @@ def test_hot_token_is_dealt(spark, monkeypatch):
     assert pairs() == whole and len(whole) == 1600
 
 
+def test_scored_lookup_in_parts(spark, monkeypatch):
+    frame = spark.createDataFrame([(f"e{i:02}", f"hot w{i % 9} v{i % 4} the same long end of all") for i in range(40)], "a string, b string")
+    hits = lambda: {tuple(r) for r in similarity.hybrid_top_k(frame, frame, "a", "b", "a", "b").collect()}
+    whole = hits()
+    monkeypatch.setattr(similarity, "PART_ROWS", 7)
+    monkeypatch.setattr(similarity, "RUN", 2)
+    assert hits() == whole and len(whole) == 120
+
+
+def test_ratio_is_that_of_the_sequence_matcher():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a = "".join(rng.choice("abc d") for _ in range(rng.randint(0, 30)))
+        b = "".join(c for c in a if rng.random() < 0.8) + a[:5] * (rng.random() < 0.5)
+        assert similarity.ratio(a, b) == similarity.SequenceMatcher(None, a, b).ratio()
+
+
 def test_hybrid_lookup(spark):
     m = spark.createDataFrame([("h1", "install lower bearing subassembly"), ("h2", "remove upper torque link"), ("h3", "install lower bearing assembly")], "h string, t string")
     q = spark.createDataFrame([("q", "install lower bearing subassembly")], "k string, t string")

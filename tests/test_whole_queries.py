@@ -41,3 +41,14 @@ def test_blocks_are_merged_within_their_columns(spark, tmp_path):
     got = sorted((r["page_number"], r["x0"], r["blocks"], r["chars"]) for r in catalog.queries()["q71_column_block_islands"](spark, d).collect())
     assert got == [(1, 60.0, 3, 8), (1, 340.0, 3, 8), (2, 60.0, 2, 3)]
     assert catalog.queries()["q44_block_islands"](spark, d).where("page_number = 1").count() == 2
+
+
+def test_fuzzy_lookup_asks_for_every_segment(spark, tmp_path):
+    d = str(tmp_path)
+    rows = [(f"s{i}", "d", i, None, f"Tighten bolt number {i} of the left landing gear", *[None] * 4) for i in range(1, 24)]
+    spark.createDataFrame(rows, SEG).write.parquet(f"{d}/segments.parquet")
+    entries = [(f"h{i}", r[4], "x", i) for i, r in enumerate(rows)] + [("h_other", "remove the wheel", "x", 1)]
+    spark.createDataFrame(entries, "source_hash string, source_norm string, target_text string, updated_at int").write.parquet(f"{d}/tm_exact.parquet")
+    got = catalog.queries()["q11_hybrid_fuzzy"](spark, d).collect()
+    assert {r["segment_id"]: r["source_hash"] for r in got if r["score"] == 1.0 and r["hit_rank"] == 1} == {f"s{i + 1}": f"h{i}" for i in range(23)}
+    assert Counter(r["segment_id"] for r in got) == {f"s{i}": 3 for i in range(1, 24)}
